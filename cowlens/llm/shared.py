@@ -40,13 +40,14 @@ def ship(spark: SparkSession) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Size of the input by Catalyst's statistics: file sizes, so no scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def partitions(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
     """Partitions for grouped stages: the session's number, or more if the input asks for it."""
     own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(own, min(input_bytes(df) // part_bytes, 1_000_000))
+    size = input_bytes(df)
+    return max(own, size // part_bytes) if size < 1 << 50 else own  # beyond, it is a product that Catalyst guesses for joins
 
 
 def cut(df: DataFrame) -> DataFrame:

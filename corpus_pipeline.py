@@ -1,15 +1,78 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""Corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+A stage takes (spark, docs, folder of tables) and returns documents with the columns it was given (the last one
+returns pieces of packed sequences). Each works on all rows that its predecessor kept.
+"""
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cowlens.llm import jaccard, langid, mixing, packing, substring
+from cowlens.llm.entries import tokenizer_path
+from cowlens.llm.shared import cut
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without letters, and those whose best language has less than 0.4 of the positions' probability."""
+    model = langid.fit(docs.where(~langid.held_out(3, 1)))
+    out = langid.identify(docs, model, with_text=True)
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.4)).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document that names its component; of rows that repeat, one."""
+    found = jaccard.near_duplicates(docs.select("doc_id", "text"), width=5, percent=80)
+    named = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(named, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated passages out of the texts; texts of which nothing is left go. Others stay as they were."""
+    out = substring.remove_repeated(docs, width=35, carry=docs.columns)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    out = out.where(F.col("n_removed") < F.greatest("n_words", F.lit(1))).withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many rows of each document as the mix takes copies."""
+    out = mixing.mix(docs).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(docs, tokenizer_path(), size=2048, end_id=1)
+    return packing.pack(cut(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")), size=2048)
+
+
+STAGES = [
+    ("language ID", language),
+    ("n-gram Jaccard join", one_of_each),
+    ("substring dedup", without_passages),
+    ("mixing sources to target weights", mixed),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: A trained network, connected components and bin packing are beyond SQL; tests compare with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder in spark.checkpoint.dir and read again."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cowlens-pipeline-")
+    folder = os.path.join(shared, f"pipeline-{uuid.uuid4().hex}")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -111,7 +111,6 @@ def first_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np
 def pack(pieces: DataFrame, size: int = 2048, group_size: int = 4096, seed: int = 17) -> DataFrame:
     """Adds sequence_id and offset. Every other column is carried along (keep it narrow: it is shuffled)."""
     ship(pieces.sparkSession)
-    spark, n = pieces.sparkSession, None
     n = pieces.count()
     groups = max(1, -(-n // group_size))
     names, schema = pieces.columns, pieces.schema.add("sequence_id", "long").add("offset", "long")

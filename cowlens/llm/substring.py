@@ -15,7 +15,7 @@ three times.
 
 Defined results: null and empty texts have no words, nothing is removed, and what is kept is the empty string.
 Texts shorter than the window are kept. Rows that repeat (same doc_id, same text) are different places, so their
-windows repeat. Null doc_ids are kept. Extra columns are not carried.
+windows repeat. Null doc_ids are kept. Extra columns are carried if named.
 """
 
 from __future__ import annotations
@@ -136,14 +136,20 @@ def _window_keys(words: Words, width: int, starts: np.ndarray) -> np.ndarray:
     return np.stack([words.windows(width, 0)[starts], words.windows(width, 1)[starts]], 1)
 
 
-def remove_repeated(docs: DataFrame, width: int = 35) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text: each text without the words of windows that also start elsewhere."""
+def remove_repeated(docs: DataFrame, width: int = 35, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text: each text without the words of windows that also start elsewhere.
+
+    carry: other columns of docs to hand on, after these.
+    """
+    carry = [c for c in carry or [] if c != "doc_id"]
+    if clash := {*carry} & {"n_words", "n_removed", "kept_text", "block"}:
+        raise ValueError(f"cannot carry columns of these names: {sorted(clash)}")
     ship(docs.sparkSession)
     n = partitions(docs)
     blocks = 2 * n
     id_type = docs.schema["doc_id"].dataType.simpleString()
     dealt = (
-        docs.select("doc_id", F.col("text").cast("string").alias("text"))
+        docs.select("doc_id", F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text"))
         .withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
         .repartition(n, "block")
     )
@@ -188,7 +194,7 @@ def remove_repeated(docs: DataFrame, width: int = 35) -> DataFrame:
                     own = compress(own, ~gone[words.first[k] : words.first[k + 1]])
                 kept.append(b" ".join(own))
         join = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
-        return pa.table({"doc_id": t.column("doc_id"), "n_words": join(counts), "n_removed": join(removed), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
+        return pa.table({"doc_id": t.column("doc_id"), "n_words": join(counts), "n_removed": join(removed), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())} | {c: t.column(c) for c in carry})
 
     def ask(sent: DataFrame, columns: int) -> DataFrame:
         return sent.groupBy("bucket").applyInArrow(_match(columns), BACK).repartition(n, "block").groupBy("block")
@@ -196,4 +202,5 @@ def remove_repeated(docs: DataFrame, width: int = 35) -> DataFrame:
     by_block = dealt.groupBy("block")
     shared = ask(by_block.applyInArrow(anchors, SENT), 1)
     repeated = ask(dealt.groupBy("block").cogroup(shared).applyInArrow(windows, SENT), 2)
-    return dealt.groupBy("block").cogroup(repeated).applyInArrow(cut, f"doc_id {id_type}, n_words long, n_removed long, kept_text string")
+    more = "".join(f", `{c}` {dealt.schema[c].dataType.simpleString()}" for c in carry)
+    return dealt.groupBy("block").cogroup(repeated).applyInArrow(cut, f"doc_id {id_type}, n_words long, n_removed long, kept_text string{more}")

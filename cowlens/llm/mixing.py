@@ -93,7 +93,7 @@ def shifts(docs: DataFrame, goals: DataFrame, passes: int = 5, grid: int = 16) -
         s = state.join(sums.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
         points = F.array(*(F.struct(F.abs(F.coalesce(F.col(f"w{k}"), F.lit(0)) - F.col("target")).alias("off"), at(k).alias("at")) for k in range(grid + 1)))
         if last == passes - 1:
-            return _last_flip(docs, s.select("source", "target", F.array_min(points)["at"].alias("shift")))
+            return _last_flip(docs, cut(s.select("source", "target", F.array_min(points)["at"].alias("shift"))))
         low = F.array_max(F.array(*(F.when(F.coalesce(F.col(f"w{k}"), F.lit(0)) <= F.col("target"), F.lit(k)).otherwise(0) for k in range(grid))))
         step = (F.col("hi") - F.col("lo")) / grid
         state = cut(s.withColumn("k", low).select("source", "target", (F.col("lo") + step * F.col("k")).alias("lo"), (F.col("lo") + step * (F.col("k") + 1)).alias("hi")))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD_PATTERN, cut
+from .shared import WORD_PATTERN, cut_table as cut
 
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -101,14 +101,14 @@ def shifts(docs: DataFrame, goals: DataFrame, passes: int = 5, grid: int = 16) -
 
 
 def _last_flip(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """source, shift, flip: the one document whose copy more or less comes nearest to what still lacks, if any does."""
+    """source, shift and flip columns: the one document whose copy more or less comes nearest to what still lacks, if any does."""
     x = _by_source(docs, found).withColumn("__n", copies(F.col("__rate"), F.col("__u"), F.col("shift")))
-    like = x.groupBy("source", "__size", "__u").agg(F.count("*").alias("rows"), F.max("__n").alias("n"), F.max("target").alias("target"))
-    lack = like.groupBy("source").agg((F.max("target") - F.sum(F.col("rows") * F.col("n") * F.col("__size"))).alias("lack"))
-    y = _by_source(like, lack)
-    by = F.when((F.col("lack") > 0) & (F.col("n") < 2), F.lit(1)).when((F.col("lack") < 0) & (F.col("n") > 0), F.lit(-1))
-    left = F.abs(F.col("lack") - by * F.col("rows") * F.col("__size"))
-    best = y.groupBy("source").agg(F.min(F.when(by.isNotNull() & (left < F.abs("lack")), F.struct(left.alias("left"), F.col("__size").alias("size"), F.col("__u").alias("u"), by.alias("by")))).alias("flip"))
+    like = cut(x.groupBy("source", "__size", "__u").agg(F.count("*").alias("rows"), F.max("__n").alias("n"), F.max("target").alias("target")))
+    lack = cut(like.groupBy("source").agg((F.max("target") - F.sum(F.col("rows") * F.col("n") * F.col("__size"))).alias("lack")))
+    by = F.when((F.col("lack") > 0) & (F.col("n") < 2), F.lit(1)).when((F.col("lack") < 0) & (F.col("n") > 0), F.lit(-1)).otherwise(0)
+    y = cut(_by_source(like, lack).withColumn("by", by)).where("by <> 0").withColumn("left", F.abs(F.col("lack") - F.col("by") * F.col("rows") * F.col("__size")))
+    key = F.col("left") + F.col("__u") * 1e-6  # __u settles ties
+    best = cut(y.where("left < abs(lack)").groupBy("source").agg(*(F.min_by(c, key).alias(f"flip_{c.strip('_')}") for c in ("__size", "__u", "by"))))
     return _by_source(found.select("source", "shift"), best, "left")
 
 
@@ -118,8 +118,8 @@ def copies(rate, u, shift):
 
 def _taken():
     """Copies with the source's last flip."""
-    own = (F.col("flip.size") == F.col("__size")) & (F.col("flip.u") == F.col("__u"))
-    return (copies(F.col("rate"), F.col("__u"), F.col("shift")) + F.when(own, F.col("flip.by")).otherwise(0)).cast("long")
+    own = (F.col("flip_size") == F.col("__size")) & (F.col("flip_u") == F.col("__u"))
+    return (copies(F.col("rate"), F.col("__u"), F.col("shift")) + F.when(own, F.col("flip_by")).otherwise(0)).cast("long")
 
 
 def solve(base: DataFrame, total: float = 1.5) -> DataFrame:

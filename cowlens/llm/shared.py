@@ -6,6 +6,7 @@ import io
 import os
 import sys
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -50,16 +51,32 @@ def partitions(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
     return max(own, size // part_bytes) if size < 1 << 50 else own  # beyond, it is a product that Catalyst guesses for joins
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the cluster's shared folder (spark.checkpoint.dir)."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where that is unset, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         given = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="cowlens-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def cut_table(df: DataFrame) -> DataFrame:
+    """Cut lineage with a written table in the shared folder.
+
+    A checkpoint keeps the constraints of the plan it came from, which grow with each round of an iterative plan until
+    the optimiser needs longer than the job; a table read again has none.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def crc_of_id(name: str = "doc_id") -> "F.Column":
     return F.crc32(F.col(name).cast("string").cast("binary"))
 

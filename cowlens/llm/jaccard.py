@@ -5,9 +5,10 @@
    of the corpus into a sketch of fixed size, which gives one global order, rarest first.
 2. Sets of size s that reach the threshold t share a shingle among the first s - ceil(t s) + 1 of that order. Those
    prefixes are dealt into tiles, one for each shingle; common passages come last in the order and so make no tiles.
-3. Within a tile, sorted by size, only nodes whose sizes allow the threshold are compared. A first round compares
-   each node with the tile's least node; a second all pairs whose nodes are still in different components, so that
-   a large group of near copies costs as many comparisons as it has members, and yet no component is missed.
+3. Within a tile only nodes whose sizes allow the threshold are compared. Rounds compare each node with a few centres
+   of its size band and of the band below; pairs that are in one component by then need no more comparing. Once few
+   pairs are left (or after the last round) all of them are compared, so a large group of near copies costs about
+   as many comparisons as it has members, and yet no component is missed.
 4. A pair must pass the bound of its hashed bitmaps (bits that differ are at least so many shingles that differ)
    before its arrays are intersected exactly.
 
@@ -18,6 +19,8 @@ least non-null doc_id; rows of null ids alone get null. Extra columns are not ca
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,8 +30,11 @@ from .components import components
 from .shared import cut, partitions, ship, text_pieces
 from .textops import Words, mix, shingles
 
-SKETCH_BITS, SLICE = 18, 1024
+SKETCH_BITS, SLICE = 20, 4096
 ENTRY = np.dtype([("h", "<u4"), ("size", "<u4"), ("node", "<i8")])
+LABELLED = np.dtype([*ENTRY.descr, ("comp", "<i8")])
+#: Centres of a tile's size band in a round, and rounds at most before all remaining pairs are compared.
+CENTRES, ROUNDS = 8, 6
 #: Node representatives up to this number are sent to all executors (16 bytes each); beyond, they are shuffled.
 BROADCAST_IDS = 500_000
 
@@ -54,7 +60,7 @@ def _nodes(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def _bits(size: int) -> int:
-    return min(1 << 14, max(1 << 9, 1 << int(2 * size - 1).bit_length())) if size else 1 << 9
+    return min(1 << 16, max(1 << 9, 1 << int(4 * size - 1).bit_length()))
 
 
 def _bitmap(h: np.ndarray) -> bytes:
@@ -75,7 +81,7 @@ def _differ(x: bytes, y: bytes) -> int:
 
 
 def _sketch_slices(total: np.ndarray) -> list[bytes]:
-    return [x.tobytes() for x in total.reshape(-1, SLICE)]
+    return [zlib.compress(x.tobytes(), 1) for x in total.reshape(-1, SLICE)]
 
 
 def describe(docs: DataFrame, width: int) -> DataFrame:
@@ -112,14 +118,14 @@ def _order(described: DataFrame) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column("slice").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                x = np.frombuffer(x, np.int64)
+                x = np.frombuffer(zlib.decompress(x), np.int64)
                 total[k] = total[k] + x if k in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["slice", "counts"])
 
     sums = described.where("slice is not null").select("slice", "counts").mapInArrow(add, "slice int, counts binary").repartition(16, "slice").mapInArrow(add, "slice int, counts binary")
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in sums.collect():  # 2**18 counters, whatever the corpus
-        counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.int64)
+    for r in sums.collect():  # 2**SKETCH_BITS counters, whatever the corpus
+        counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
     rank = np.empty(len(counts), np.int32)
     rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
     return rank
@@ -178,36 +184,48 @@ def _edges_table(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def first_round(tiled: DataFrame, percent: int) -> DataFrame:
-    """Each node with the centre of its size band in the tile, and with that of the band below.
+def with_centres(tiled: DataFrame, percent: int, seed: int) -> DataFrame:
+    """Each node with the centres of its size band in the tile, and with those of the band below.
 
-    A centre is the node of least mixed digest, so tiles that share nodes tend to agree on it.
+    Centres are the nodes of least mixed digest, so tiles that share nodes tend to agree on them. Pairs of one
+    component, or of sizes that rule the threshold out, are left out.
     """
 
     def run(batches):
         for t in batches:
+            kind = LABELLED if "pairs" in t.schema.names else ENTRY
             for blob in t.column("entries").to_pylist():
-                e = np.frombuffer(blob, ENTRY)
+                e = np.frombuffer(blob, kind)
+                if not len(e):
+                    continue
                 many = np.diff(_bounds(e))
-                size, node = e["size"].astype(np.int64), e["node"]
-                band = np.floor(np.log(size) / np.log(100 / percent) + 1e-9).astype(np.int64)
+                band = np.floor(np.log(e["size"]) / np.log(100 / percent) + 1e-9).astype(np.int64)
                 key = np.repeat(np.arange(len(many)), many) * 1024 + band + 1
-                order = np.lexsort((mix(node.view(np.uint64), 41), key))
-                key, size, node = key[order], size[order], node[order]
+                order = np.lexsort((mix(e["node"].view(np.uint64), seed), key))
+                e, key = e[order], key[order]
+                size, node, comp = e["size"].astype(np.int64), e["node"], e["comp" if kind is LABELLED else "node"]
                 groups, first = np.unique(key, return_index=True)
-                own = first[np.searchsorted(groups, key)]
-                at = np.minimum(np.searchsorted(groups, key - 1), len(groups) - 1)
-                below = np.where(groups[at] == key - 1, first[at], np.arange(len(key)))
-                a, b = np.concatenate([own, below]), np.tile(np.arange(len(key)), 2)
-                lo, hi = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
-                ok = (node[a] != node[b]) & (100 * lo >= percent * hi)
-                yield _edges_table(node[a[ok]], node[b[ok]])
+                last = np.r_[first[1:], len(key)]
+                here, every = np.searchsorted(groups, key), np.arange(len(key))
+                prior = np.maximum(here - 1, 0)
+                prior = np.where(groups[prior] == key - 1, prior, -1)
+                left, right = [], []
+                for c in range(CENTRES):
+                    for group in (here, prior):
+                        centre = first[group] + c
+                        ok = (group >= 0) & (centre < last[group])
+                        a, b = centre[ok], every[ok]
+                        lo, hi = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+                        ok = (comp[a] != comp[b]) & (100 * lo >= percent * hi)
+                        left.append(node[a[ok]])
+                        right.append(node[b[ok]])
+                yield _edges_table(np.concatenate(left), np.concatenate(right))
 
     return tiled.mapInArrow(run, "a long, b long").distinct()
 
 
-def second_round(tiled: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a tile whose sizes allow the threshold and whose nodes are in different components."""
+def mixed(tiled: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, pairs, entries): tiles whose nodes are in several components, and how many pairs those make."""
 
     def unpack(batches):
         for t in batches:
@@ -216,25 +234,50 @@ def second_round(tiled: DataFrame, labels: DataFrame, percent: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), k), pa.int32()), pa.array(e["h"].astype(np.int64)), pa.array(e["size"].astype(np.int64)), pa.array(e["node"])], names=["bucket", "h", "size", "node"])
 
     def run(t: pa.Table) -> pa.Table:
-        h, size, node, comp = (t.column(c).to_numpy() for c in ("h", "size", "node", "comp"))
-        order = np.lexsort((node, size, h))
-        h, size, node, comp = h[order], size[order], node[order], comp[order]
-        begin = np.r_[np.flatnonzero(np.r_[True, h[1:] != h[:-1]]), len(h)]
-        mixed = np.minimum.reduceat(comp, begin[:-1]) != np.maximum.reduceat(comp, begin[:-1])
-        left, right = [], []
-        for x, y in zip(begin[:-1][mixed], begin[1:][mixed], strict=True):
-            s, c, n = size[x:y], comp[x:y], node[x:y]
-            top = np.searchsorted(s, s * 100 // percent, "right")
-            for k in range(len(s)):
-                far = np.flatnonzero(c[k + 1 : top[k]] != c[k])
-                if len(far):
-                    left.append(np.full(len(far), n[k]))
-                    right.append(n[k + 1 + far])
-        return pa.Table.from_batches([_edges_table(np.concatenate(left) if left else np.zeros(0, np.int64), np.concatenate(right) if right else np.zeros(0, np.int64))])
+        e = np.empty(t.num_rows, LABELLED)
+        for c in LABELLED.names:
+            e[c] = t.column(c).to_numpy()
+        e = e[np.lexsort((e["node"], e["size"], e["comp"], e["h"]))]
+        begin = _bounds(e)
+        several = np.minimum.reduceat(e["comp"], begin[:-1]) != np.maximum.reduceat(e["comp"], begin[:-1])
+        e = e[np.repeat(several, np.diff(begin))]
+        if not len(e):
+            return pa.table({"bucket": pa.array([], pa.int32()), "pairs": pa.array([], pa.int64()), "entries": pa.array([], pa.binary())})
+        many = np.diff(_bounds(e))
+        own = np.diff(np.r_[np.flatnonzero(np.r_[True, (e["h"][1:] != e["h"][:-1]) | (e["comp"][1:] != e["comp"][:-1])]), len(e)])
+        pairs = int((many * many).sum() - (own * own).sum()) // 2
+        return pa.table({"bucket": t.column("bucket")[:1].cast(pa.int32()), "pairs": pa.array([pairs], pa.int64()), "entries": pa.array([e.tobytes()], pa.binary())})
 
     rows = tiled.mapInArrow(unpack, "bucket int, h long, size long, node long")
     rows = rows.join(labels, "node", "left").select("bucket", "h", "size", "node", F.coalesce("component", "node").alias("comp"))
-    return rows.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("bucket").applyInArrow(run, "bucket int, pairs long, entries binary")
+
+
+def all_pairs(several: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a tile whose sizes allow the threshold and whose nodes are in different components."""
+
+    def run(batches):
+        for t in batches:
+            for blob in t.column("entries").to_pylist():
+                e = np.frombuffer(blob, LABELLED)
+                e = e[np.lexsort((e["node"], e["size"], e["h"]))]
+                begin = _bounds(e)
+                left, right = [], []
+                for x, y in zip(begin[:-1], begin[1:], strict=True):
+                    s, c, n = e["size"][x:y].astype(np.int64), e["comp"][x:y], e["node"][x:y]
+                    top = np.searchsorted(s, s * 100 // percent, "right")
+                    for k in range(len(s)):
+                        far = np.flatnonzero(c[k + 1 : top[k]] != c[k])
+                        if len(far):
+                            left.append(np.full(len(far), n[k]))
+                            right.append(n[k + 1 + far])
+                    if len(left) > 10_000:
+                        yield _edges_table(np.concatenate(left), np.concatenate(right))
+                        left, right = [], []
+                if left:
+                    yield _edges_table(np.concatenate(left), np.concatenate(right))
+
+    return several.mapInArrow(run, "a long, b long").distinct()
 
 
 def verify(docs: DataFrame, edges: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -289,14 +332,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("bitmap").alias("bitmap"))
     nodes = cut(nodes)
     tiled = cut(tiles(docs, rank, width, percent, n))
-    edges = cut(first_round(tiled, percent))
-    links = verify(docs, edges, nodes, width, percent)
+    seen = cut(with_centres(tiled, percent, 0))
+    links = verify(docs, seen, nodes, width, percent)
     labels = cut(components(links))
-    more = cut(second_round(tiled, labels, percent).join(edges, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = verify(docs, more, nodes, width, percent)
+    members = tiled.agg(F.sum(F.length("entries"))).first()[0] or 0
+    for k in range(1, ROUNDS + 1):
+        several = cut(mixed(tiled, labels))
+        pairs = several.agg(F.sum("pairs")).first()[0] or 0
+        if not pairs:
+            break
+        final = k == ROUNDS or pairs * ENTRY.itemsize <= 4 * members  # few pairs for the memberships there are
+        edges = cut((all_pairs(several, percent) if final else with_centres(several, percent, k)).join(seen, ["a", "b"], "left_anti"))
+        found = verify(docs, edges, nodes, width, percent)
         if not found.isEmpty():
-            labels = cut(components(links.unionByName(found)))
+            links = links.unionByName(found)
+            labels = cut(components(links))
+        if final:
+            break
+        seen = seen.unionByName(edges)
     named = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("root"))
     ids = named.groupBy("root").agg(F.min("rep").alias("least"))
     final = named.join(ids, "root").select("node", "least")

@@ -428,3 +428,26 @@ def header_violations(x: Lenses) -> DataFrame:
 def next_snapshot_id(x: Lenses) -> DataFrame:
     ids = x.image().where("table_id <> 1").select(F.col("table_id").cast("string").alias("id")).distinct()
     return ids.agg((F.coalesce(F.max(F.expr("try_cast(id as bigint)")), F.lit(0)) + 1).alias("next_id"), F.count("*").alias("snapshots"))
+
+
+@query(f"with {_BITS} select * from bits")
+def stream_dirty(x: Lenses) -> DataFrame:
+    """The dirty granules of the writes read as a stream to its end; the result is the batch query's."""
+    import tempfile
+    import uuid
+
+    from ..streaming import tracking
+    from .lens import SQL
+
+    spark, path = x.spark, f"{x.sf_dir}/events.parquet"
+    files = spark.read.parquet(path)
+    name = f"dirty_{uuid.uuid4().hex}"
+    # a stream reads folders: of the table's own folder, or of its parent with the file's name as filter
+    single = len(files.inputFiles()) == 1 and files.inputFiles()[0].rstrip("/").endswith("events.parquet")
+    reader = spark.readStream.schema(files.schema)
+    raw = reader.option("pathGlobFilter", "events.parquet").parquet(x.sf_dir) if single else reader.parquet(path)
+    writes = spark.sql(SQL["l_write"].replace("from events", "from {source}"), source=raw)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cowlens-stream-")
+    q = tracking.dirty_granules(writes, 65_536, late=None).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{shared}/{name}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ship, worker_store
+from .shared import least_hashes, ship, worker_store
 
 SEGMENT = 24
 KEPT_WORDS = 400_000
@@ -191,7 +191,7 @@ class Labeller:
 def fit(labelled: DataFrame, sample: int = 2000, words: int = 200_000, steps: int = 500, seed: int = 5) -> BiGRU:
     """A model of labelled (doc_id, text, lang) rows: `sample` documents of least hash, `words` of their words."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = [r[0] for r in rows.select("doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample).collect()]
+    ids = least_hashes(rows.select("doc_id"), sample, seed)
     got = sorted((r[0], r[1], r[2]) for r in rows.where(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang").collect() if r[0] is not None) if ids else []
     langs = sorted({x[2] for x in got}) or ["und"]
     model = BiGRU(langs, seed=seed)

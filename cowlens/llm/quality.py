@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ship, text_pieces
+from .shared import least_hashes, ship, text_pieces
 from .textops import Words
 
 BITS, RANK = 14, 8
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, seed: int = 11)
     rows = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     for label in (0, 1):
         own = rows.where(F.col("label") == label).select("doc_id").distinct()
-        wanted |= {r[0]: label for r in own.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample).collect()}
+        wanted |= dict.fromkeys(least_hashes(own, sample, seed), label)
     got = sorted((r[0], r[1] or "") for r in docs.where(F.col("doc_id").isin(list(wanted))).select("doc_id", "text").collect()) if wanted else []
     if not got:
         return model

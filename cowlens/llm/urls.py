@@ -6,7 +6,7 @@ the pages that a rule decides, so what a rule says of some hosts carries over to
 priors, so a url without words is allowed.
 
 Counts of words and of tokens cover all pages; they are combined before the shuffle, so a host with a third of all
-pages costs a row a task. The unigram model keeps the `vocabulary` most frequent words (ties by code point), and
+pages costs a row a task. The unigram model keeps the most frequent words, `vocabulary` at most (of ties all or none), and
 naive Bayes hashes its tokens into 2**TOKEN_BITS cells, so both have a fixed size, which is sent to the executors.
 
 Defined results: null urls and urls without `://` have empty host and path, fit no rule and have no tokens: allow.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import ship, worker_store
+from .shared import cut, ship, worker_store
 
 TOKEN_BITS = 16
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -126,7 +126,14 @@ def word_counts(pages: DataFrame, max_word: int, vocabulary: int) -> dict[str, i
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
 
     sums = pages.select(F.col("html").cast("string").alias("html")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"]: r["n"] for r in sums.orderBy(F.desc("n"), "word").limit(vocabulary).collect()}
+    sums = cut(sums)
+    least, words = None, 0  # how often a word must occur, from how many words occur how often
+    for r in sums.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        words += r["words"]
+        if words > vocabulary:
+            break
+        least = r["n"]
+    return {r["word"]: r["n"] for r in sums.where(F.col("n") >= least).collect()} if least else {}
 
 
 def learn(pages: DataFrame, rules: Rules, segmenter) -> np.ndarray:

@@ -35,6 +35,8 @@ ENTRY = np.dtype([("h", "<u4"), ("size", "<u4"), ("node", "<i8")])
 LABELLED = np.dtype([*ENTRY.descr, ("comp", "<i8")])
 #: Centres of a tile's size band in a round, and rounds at most before all remaining pairs are compared.
 CENTRES, ROUNDS = 8, 6
+#: Buckets over which the tiles of one first node are spread at most.
+SPREAD = 4
 #: Node representatives up to this number are sent to all executors (16 bytes each); beyond, they are shuffled.
 BROADCAST_IDS = 500_000
 
@@ -159,19 +161,36 @@ def tiles(docs: DataFrame, rank, width: int, percent: int, buckets: int) -> Data
                 who, first = np.unique(to, return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(who, pa.int32()), pa.array([x.tobytes() for x in np.split(out, first[1:])], pa.binary())], names=["bucket", "entries"])
 
+    def split(e: np.ndarray, to: np.ndarray) -> pa.Table:
+        order = np.argsort(to, kind="stable")
+        e, to = e[order], to[order]
+        who, first = np.unique(to, return_index=True)
+        parts = [x.tobytes() for x in np.split(e, first[1:])] if len(who) else []
+        return pa.table({"bucket": pa.array(who, pa.int32()), "entries": pa.array(parts, pa.binary())})
+
     def match(t: pa.Table) -> pa.Table:
         e = _unpack(t.column("entries").to_pylist())
-        e = e[np.lexsort((e["node"], e["size"], e["h"]))]
+        e = e[np.lexsort((e["node"], mix(e["node"].view(np.uint64), 0), e["h"]))]
         new = np.ones(len(e), bool)
         new[1:] = (e["h"][1:] != e["h"][:-1]) | (e["node"][1:] != e["node"][:-1])
         e = e[new]
         same = e["h"][1:] == e["h"][:-1]
         e = e[np.r_[same, False] | np.r_[False, same]]
-        bucket = t.column("bucket")[:1].cast(pa.int32())
-        return pa.table({"bucket": bucket, "entries": pa.array([e.tobytes()], pa.binary())}) if len(e) else pa.table({"bucket": pa.array([], pa.int32()), "entries": pa.array([], pa.binary())})
+        if not len(e):
+            return split(e, np.zeros(0, np.int64))
+        # tiles that share nodes mostly share their first node: dealt by it, a pair is met in few buckets instead of many
+        begin = _bounds(e)
+        many = np.diff(begin)
+        key = np.repeat(e["node"][begin[:-1]].view(np.uint64), many) ^ (e["h"] % np.uint32(SPREAD)).astype(np.uint64)
+        return split(e, (mix(key, 51) % np.uint64(buckets)).astype(np.int64))
+
+    def gather(t: pa.Table) -> pa.Table:
+        e = _unpack(t.column("entries").to_pylist())
+        return pa.table({"bucket": t.column("bucket")[:1].cast(pa.int32()), "entries": pa.array([e[np.lexsort((e["node"], e["h"]))].tobytes()], pa.binary())})
 
     sent = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(send, "bucket int, entries binary")
-    return sent.groupBy("bucket").applyInArrow(match, "bucket int, entries binary")
+    found = sent.groupBy("bucket").applyInArrow(match, "bucket int, entries binary")
+    return found.groupBy("bucket").applyInArrow(gather, "bucket int, entries binary")
 
 
 def _bounds(e: np.ndarray) -> np.ndarray:

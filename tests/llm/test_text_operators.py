@@ -84,9 +84,10 @@ def test_shingles_are_functions_of_the_words():
     assert not (one("a b c d e") - one("q")) & (one("a b c d f") - one("q"))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_task", [1_000_000, 20])
+def test_components(spark, per_task):
     edges = [(1, 2), (2, 3), (5, 4), (9, 9), (6, 3), (7, 8), (8, 7), (None, 1), *((100, k) for k in range(101, 140)), *((k, k + 1) for k in range(200, 240))]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), per_task=per_task).collect()}
     want = {1: 1, 2: 1, 3: 1, 6: 1, 4: 4, 5: 4, 7: 7, 8: 7} | {k: 100 for k in range(100, 140)} | {k: 200 for k in range(200, 241)}
     assert got == want
 

@@ -261,3 +261,64 @@ def read_clusters(entries: DataFrame, cluster: DataFrame, cluster_bits: int, com
     c = c.withColumn("r", inflate(data, size, compression))
     c = c.select("image_id", "table_id", "guest_cluster", F.coalesce("r.bytes", F.lit(bytes(size))).alias("bytes"), F.col("r.error").alias("error"))
     return zeros.unionByName(plain).unionByName(c)
+
+
+BITMAPS_EXTENSION = 0x23852875
+
+
+def bitmap_directory(ext: DataFrame, cluster: DataFrame, cluster_bits: int) -> DataFrame:
+    """Entries of the dirty-bitmap directories: image_id, name, table_offset, table_size, in_use, auto, type, granularity_bits."""
+    b = F.col("data")
+    x = ext.where((F.col("type_id") == BITMAPS_EXTENSION) & (F.octet_length("data") >= 24))
+    x = x.select("image_id", bits.big_endian(b, 0, 4).alias("n"), bits.masked(*bits.halves(b, 8), 0, 62).alias("size"), bits.masked(*bits.halves(b, 16), 0, 62).alias("offset"))
+    first, last = F.shiftright("offset", cluster_bits), F.shiftright(F.col("offset") + F.greatest("size", F.lit(1)) - 1, cluster_bits)
+    near = x.withColumn("cluster_idx", F.explode(F.sequence(first, last))).join(cluster, ["image_id", "cluster_idx"])
+    names = ["image_id", "name", "table_offset", "table_size", "in_use", "auto", "type", "granularity_bits"]
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("cluster_idx")
+        raw, rows, at = b"".join(t.column("bytes").to_pylist()), [], 0
+        u = lambda p, n: int.from_bytes(raw[at + p : at + p + n], "big")
+        for _ in range(t.column("n")[0].as_py()):
+            if at + 24 > len(raw):
+                break
+            flags, name_size, extra = u(12, 4), u(18, 2), u(20, 4)
+            name = raw[at + 24 + extra : at + 24 + extra + name_size].decode("utf-8", "replace")
+            rows.append((t.column("image_id")[0].as_py(), name, u(0, 8), u(8, 4), bool(flags & 1), bool(flags & 2), u(16, 1), u(17, 1)))
+            at += -(-(24 + extra + name_size) // 8) * 8
+        cols = list(zip(*rows, strict=True)) or [[]] * 8
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64())
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
+
+    return near.select("image_id", "cluster_idx", "bytes", "n").groupBy("image_id").applyInArrow(run, "image_id string, name string, table_offset long, table_size long, in_use boolean, auto boolean, type long, granularity_bits long")
+
+
+def dirty_granules(directory: DataFrame, cluster: DataFrame, cluster_bits: int) -> DataFrame:
+    """(image_id, bitmap, bit_no) of every dirty granule. A table entry without offset is all ones if bit 0 is set, else all zeros."""
+    size = 1 << cluster_bits
+    t = directory.select("image_id", F.col("name").alias("table_id"), F.col("table_offset").alias("offset"), F.col("table_size").alias("entries"))
+    e = _words(t, cluster, cluster_bits).select("image_id", F.col("table_id").alias("bitmap"), "index", bits.masked(F.col("hi"), F.col("lo"), 9, 55).alias("at"), bits.bit(F.col("hi"), F.col("lo"), 0).alias("ones"))
+    full = e.where("at = 0 and ones").select("image_id", "bitmap", "index", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("k"), F.lit(255).cast("long").alias("byte"))
+    data = e.where("at <> 0").withColumn("cluster_idx", F.shiftright("at", cluster_bits)).join(cluster, ["image_id", "cluster_idx"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+    data = data.select("image_id", "bitmap", "index", "k", bits.big_endian(F.col("bytes"), F.col("k"), 1).alias("byte")).where("byte <> 0")
+    x = full.unionByName(data).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    return x.where(F.expr("shiftrightunsigned(byte, 7 - j) & 1") == 1).select("image_id", "bitmap", ((F.col("index") * size + F.col("k")) * 8 + F.col("j")).alias("bit_no"))
+
+
+def file_violations(head: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(image_id, rule): parts of the header that lie outside the file. sizes: image_id, length."""
+    x = head.join(sizes, "image_id")
+    size = F.expr("shiftleft(1L, cluster_bits)")
+    rules = {
+        "l1_beyond_end": F.col("l1_offset") + F.col("l1_entries") * 8 > F.col("length"),
+        "l1_unaligned": F.col("l1_offset") % size != 0,
+        "refcount_table_beyond_end": F.col("refcount_table_offset") + F.col("refcount_table_clusters") * size > F.col("length"),
+        "refcount_table_missing": F.col("refcount_table_clusters") == 0,
+        "backing_name_beyond_header": (F.col("backing_file_offset") > 0) & (F.col("backing_file_offset") + F.col("backing_file_size") > size),
+        "backing_name_too_long": F.col("backing_file_size") > 1023,
+        "snapshots_beyond_end": (F.col("snapshot_count") > 0) & (F.col("snapshots_offset") >= F.col("length")),
+        "header_length": (F.col("version") >= 3) & ((F.col("header_length") < 104) | (F.col("header_length") > size)),
+        "compression_type": F.col("compression_type") > 1,
+    }
+    broken = F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in rules.items())))
+    return x.select("image_id", F.explode(broken).alias("rule"))

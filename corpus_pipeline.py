@@ -19,10 +19,10 @@ from cowlens.llm.shared import cut
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters, and those whose best language has less than 0.4 of the positions' probability."""
+    """Rejects texts without letters, and those whose best language has less than 0.3 of the positions' probability."""
     model = langid.fit(docs.where(~langid.held_out(3, 1)))
     out = langid.identify(docs, model, with_text=True)
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.4)).select(*docs.columns)
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.3)).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -199,7 +199,8 @@ def fit(labelled: DataFrame, sample: int = 2000, words: int = 200_000, steps: in
     if pairs:
         r = np.random.default_rng(seed)
         at = r.permutation(len(pairs))[:words]
-        model.train([pairs[i][0] for i in at], np.array([pairs[i][1] for i in at]), steps=steps)
+        shout = r.random(len(at)) < 0.1  # capitals are rare in the sample, but whole texts are written in them
+        model.train([pairs[i][0].upper() if up else pairs[i][0] for i, up in zip(at, shout, strict=True)], np.array([pairs[i][1] for i in at]), steps=steps)
     return model
 
 

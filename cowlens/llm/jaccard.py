@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, partitions, ship, text_pieces
+from .shared import cut, cut_rows, partitions, ship, text_pieces
 from .textops import Words, mix, shingles
 
 SKETCH_BITS, SLICE = 20, 4096
@@ -272,31 +272,69 @@ def mixed(tiled: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(run, "bucket int, pairs long, entries binary")
 
 
-def all_pairs(several: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a tile whose sizes allow the threshold and whose nodes are in different components."""
+def all_pairs(several: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a tile whose nodes are in different components, and whose sizes and bitmaps allow the threshold.
 
-    def run(batches):
+    A bucket's nodes bring their bitmaps once; each pair is bounded once a bucket, however many tiles it shares.
+    """
+
+    def members(batches):
         for t in batches:
-            for blob in t.column("entries").to_pylist():
-                e = np.frombuffer(blob, LABELLED)
-                e = e[np.lexsort((e["node"], e["size"], e["h"]))]
-                begin = _bounds(e)
-                left, right = [], []
-                for x, y in zip(begin[:-1], begin[1:], strict=True):
-                    s, c, n = e["size"][x:y].astype(np.int64), e["comp"][x:y], e["node"][x:y]
-                    top = np.searchsorted(s, s * 100 // percent, "right")
-                    for k in range(len(s)):
-                        far = np.flatnonzero(c[k + 1 : top[k]] != c[k])
-                        if len(far):
-                            left.append(np.full(len(far), n[k]))
-                            right.append(n[k + 1 + far])
-                    if len(left) > 10_000:
-                        yield _edges_table(np.concatenate(left), np.concatenate(right))
-                        left, right = [], []
-                if left:
-                    yield _edges_table(np.concatenate(left), np.concatenate(right))
-
-    return several.mapInArrow(run, "a long, b long").distinct()
+            for k, blob in zip(t.column("bucket").to_pylist(), t.column("entries").to_pylist(), strict=True):
+                own = np.unique(np.frombuffer(blob, LABELLED)["node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k), pa.int32()), pa.array(own)], names=["bucket", "node"])
+
+    def run(t: pa.Table, m: pa.Table) -> pa.Table:
+        names = m.column("node").to_numpy()
+        order = np.argsort(names)
+        names, maps = names[order], [m.column("bitmap").to_pylist()[i] for i in order]
+        bits = np.array([len(x) for x in maps])
+        rows = {w: np.stack([np.frombuffer(maps[i], np.uint64) for i in np.flatnonzero(bits == w)]) for w in np.unique(bits)}
+        row_of = np.zeros(len(maps), np.int64)
+        for w in rows:
+            row_of[bits == w] = np.arange((bits == w).sum())
+        size_of = np.zeros(len(names), np.int64)
+        kept = []
+
+        def bound(pairs: np.ndarray) -> np.ndarray:
+            i, j = pairs >> 32, pairs & 0xFFFFFFFF
+            differ = np.zeros(len(pairs), np.int64)
+            for w in rows:
+                same = np.flatnonzero((bits[i] == w) & (bits[j] == w))
+                for at in range(0, len(same), 8192):
+                    k = same[at : at + 8192]
+                    differ[k] = np.bitwise_count(rows[w][row_of[i[k]]] ^ rows[w][row_of[j[k]]]).sum(1)
+            for k in np.flatnonzero(bits[i] != bits[j]):
+                differ[k] = _differ(maps[i[k]], maps[j[k]])
+            n = size_of[i] + size_of[j]
+            most = np.minimum((n - differ) // 2, np.minimum(size_of[i], size_of[j]))
+            return pairs[100 * most >= percent * (n - most)]
+
+        waiting, many = [], 0
+        for blob in t.column("entries").to_pylist():
+            e = np.frombuffer(blob, LABELLED)
+            e = e[np.lexsort((e["node"], e["size"], e["h"]))]
+            at_node = np.searchsorted(names, e["node"])
+            size_of[at_node] = e["size"]
+            begin = _bounds(e)
+            for x, y in zip(begin[:-1], begin[1:], strict=True):
+                s, c, n = e["size"][x:y].astype(np.int64), e["comp"][x:y], at_node[x:y]
+                top = np.searchsorted(s, s * 100 // percent, "right")
+                for k in range(len(s)):
+                    far = n[k + 1 : top[k]][c[k + 1 : top[k]] != c[k]]
+                    if len(far):
+                        waiting.append(np.minimum(far, n[k]) << 32 | np.maximum(far, n[k]))
+                        many += len(far)
+                if many > 4_000_000:
+                    kept.append(bound(np.unique(np.concatenate(waiting))))
+                    waiting, many = [], 0
+        if waiting:
+            kept.append(bound(np.unique(np.concatenate(waiting))))
+        pairs = np.unique(np.concatenate(kept)) if kept else np.zeros(0, np.int64)
+        return pa.Table.from_batches([_edges_table(names[pairs >> 32], names[pairs & 0xFFFFFFFF])])
+
+    own = several.mapInArrow(members, "bucket int, node long").join(nodes.select("node", "bitmap"), "node")
+    return several.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(run, "a long, b long").distinct()
 
 
 def verify(docs: DataFrame, edges: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -312,7 +350,7 @@ def verify(docs: DataFrame, edges: DataFrame, nodes: DataFrame, width: int, perc
             yield t.filter(pa.array(ok)).select(["a", "b", "rep_a", "rep_b"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    near = cut(edges.join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, f"a long, b long, rep_a {id_type}, rep_b {id_type}"))
+    near = cut_rows(edges.join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, f"a long, b long, rep_a {id_type}, rep_b {id_type}"))
     wanted = near.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("rep_a").alias("doc_id")), F.struct(F.col("b").alias("node"), F.col("rep_b").alias("doc_id")))).alias("x")).select("x.*").distinct()
     reps = wanted.select("doc_id").distinct()
     if wanted.count() <= BROADCAST_IDS:
@@ -337,7 +375,7 @@ def verify(docs: DataFrame, edges: DataFrame, nodes: DataFrame, width: int, perc
             yield t.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     pairs = near.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return cut(pairs.mapInArrow(exact, "a long, b long"))
+    return cut_rows(pairs.mapInArrow(exact, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -349,11 +387,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rank = spark.sparkContext.broadcast(_order(described))
     rows = described.where("slice is null").select("doc_id", "n_shingles", "node", "bitmap")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("bitmap").alias("bitmap"))
-    nodes = cut(nodes)
+    nodes = cut_rows(nodes, 20_000)
     tiled = cut(tiles(docs, rank, width, percent, n))
-    seen = cut(with_centres(tiled, percent, 0))
+    seen = cut_rows(with_centres(tiled, percent, 0))
     links = verify(docs, seen, nodes, width, percent)
-    labels = cut(components(links))
+    labels = cut_rows(components(links))
     members = tiled.agg(F.sum(F.length("entries"))).first()[0] or 0
     for k in range(1, ROUNDS + 1):
         several = cut(mixed(tiled, labels))
@@ -361,11 +399,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         if not pairs:
             break
         final = k == ROUNDS or pairs * ENTRY.itemsize <= 4 * members  # few pairs for the memberships there are
-        edges = cut((all_pairs(several, percent) if final else with_centres(several, percent, k)).join(seen, ["a", "b"], "left_anti"))
+        edges = cut_rows((all_pairs(several, nodes, percent) if final else with_centres(several, percent, k)).join(seen, ["a", "b"], "left_anti"))
         found = verify(docs, edges, nodes, width, percent)
         if not found.isEmpty():
             links = links.unionByName(found)
-            labels = cut(components(links))
+            labels = cut_rows(components(links))
         if final:
             break
         seen = seen.unionByName(edges)

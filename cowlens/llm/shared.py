@@ -66,6 +66,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_rows(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """cut(), and about `rows` rows a partition if there were more partitions than that: fewer tasks and files for what follows."""
+    done = cut(df)
+    return done.coalesce(max(1, -(-done.count() // rows)))
+
+
 def cut_table(df: DataFrame) -> DataFrame:
     """Cut lineage with a written table in the shared folder.
 

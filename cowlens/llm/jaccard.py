@@ -287,9 +287,10 @@ def all_pairs(several: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def run(t: pa.Table, m: pa.Table) -> pa.Table:
         names = m.column("node").to_numpy()
         order = np.argsort(names)
-        names, maps = names[order], [m.column("bitmap").to_pylist()[i] for i in order]
+        names, maps = names[order], m.column("bitmap").take(pa.array(order)).to_pylist()
         bits = np.array([len(x) for x in maps])
         rows = {w: np.stack([np.frombuffer(maps[i], np.uint64) for i in np.flatnonzero(bits == w)]) for w in np.unique(bits)}
+        halved = {w: np.packbits(np.unpackbits(x.view(np.uint8), axis=1).reshape(len(x), -1, 2).any(2), axis=1).view(np.uint64) for w, x in rows.items() if w // 2 in rows}
         row_of = np.zeros(len(maps), np.int64)
         for w in rows:
             row_of[bits == w] = np.arange((bits == w).sum())
@@ -304,8 +305,12 @@ def all_pairs(several: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 for at in range(0, len(same), 8192):
                     k = same[at : at + 8192]
                     differ[k] = np.bitwise_count(rows[w][row_of[i[k]]] ^ rows[w][row_of[j[k]]]).sum(1)
-            for k in np.flatnonzero(bits[i] != bits[j]):
-                differ[k] = _differ(maps[i[k]], maps[j[k]])
+                # sizes that allow the threshold differ by one doubling of the bitmap at most
+                for big, small in ((i, j), (j, i)):
+                    other = np.flatnonzero((bits[big] == w) & (bits[small] * 2 == w))
+                    for at in range(0, len(other), 8192):
+                        k = other[at : at + 8192]
+                        differ[k] = np.bitwise_count(halved[w][row_of[big[k]]] ^ rows[w // 2][row_of[small[k]]]).sum(1)
             n = size_of[i] + size_of[j]
             most = np.minimum((n - differ) // 2, np.minimum(size_of[i], size_of[j]))
             return pairs[100 * most >= percent * (n - most)]

@@ -181,3 +181,22 @@ def test_vectors(spark):
                 parent = [a if p == b else p for p in parent]
     assert got == {i: (links[i], parent[i], parent[i] == i) for i in range(len(rows))}
     assert vectors.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_vectors_with_a_common_mean_and_groups_lose_no_pairs(spark):
+    """A hot label whose vectors share a mean, and a large group of mutual cosine 0.9 in another: planted pairs at the threshold are found."""
+    r = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    rows, pairs, at = [], [], 0
+    for label, n, cosine in ((1, 6000, 0.9), (2, 2500, 0.9), (2, 3500, 0.0)):
+        mean = unit(r.normal(size=64))
+        x = unit(np.sqrt(cosine) * mean + np.sqrt(1 - cosine) * unit(r.normal(size=(n, 64))))
+        side = r.normal(size=(n // 20, 64))
+        base = x[: n // 20]
+        side = unit(side - (side * base).sum(1, keepdims=True) * base)
+        y = 0.981 * base + np.sqrt(1 - 0.981**2) * side
+        rows += [(at + i, v.tolist(), label) for i, v in enumerate([*x, *y])]
+        pairs += [(at + i, at + n + i) for i in range(n // 20)]
+        at += n + n // 20
+    got = {v.vec_id: v.component_id for v in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.98, window=4).collect()}
+    assert sum(got[a] != got[b] for a, b in pairs) <= 2

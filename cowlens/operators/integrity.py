@@ -23,10 +23,25 @@ def references(entries: DataFrame) -> DataFrame:
     return data.unionByName(tables).groupBy("image_id", "cluster_idx").agg(F.count("*").alias("refs"))
 
 
+def per_image(stored: DataFrame, entries: DataFrame) -> DataFrame:
+    """Stored counts repeated for each image of the entries."""
+    return stored.crossJoin(entries.select("image_id").distinct())
+
+
+def _keys(table: DataFrame) -> list[str]:
+    """Clusters are named within an image where the table carries images."""
+    return [c for c in ("image_id", "cluster_idx") if c in table.columns]
+
+
+def _expected(refs: DataFrame) -> DataFrame:
+    return refs.select(*_keys(refs), F.col("refs").alias("expected"))
+
+
 def compare(stored: DataFrame, refs: DataFrame, full: bool = False) -> DataFrame:
-    """(cluster_idx, stored, expected) where they differ. full: also clusters that have references but no stored count."""
-    x = stored.join(refs.select("cluster_idx", F.col("refs").alias("expected")), "cluster_idx", "full" if full else "left")
-    x = x.select("cluster_idx", F.coalesce("stored", F.lit(0)).alias("stored"), F.coalesce("expected", F.lit(0)).alias("expected"))
+    """([image_id,] cluster_idx, stored, expected) where they differ. full: also clusters that have references but no stored count."""
+    keys = _keys(refs)
+    x = stored.join(_expected(refs), keys, "full" if full else "left")
+    x = x.select(*keys, F.coalesce("stored", F.lit(0)).alias("stored"), F.coalesce("expected", F.lit(0)).alias("expected"))
     return x.where("stored <> expected")
 
 
@@ -36,18 +51,18 @@ def leaks(stored: DataFrame, refs: DataFrame) -> DataFrame:
 
 def repair(stored: DataFrame, refs: DataFrame, leaks_only: bool = False) -> DataFrame:
     """New stored counts: all as expected, or only those lowered that are too high."""
-    if leaks_only:
-        x = stored.join(refs.select("cluster_idx", F.col("refs").alias("expected")), "cluster_idx", "left")
-        return x.select("cluster_idx", F.least("stored", F.coalesce("expected", F.lit(0))).alias("refcount"))
-    x = stored.join(refs.select("cluster_idx", F.col("refs").alias("expected")), "cluster_idx", "full")
-    return x.select("cluster_idx", F.coalesce("expected", F.lit(0)).alias("refcount"))
+    keys = _keys(refs)
+    x = stored.join(_expected(refs), keys, "left" if leaks_only else "full")
+    expected = F.coalesce("expected", F.lit(0))
+    return x.select(*keys, (F.least("stored", expected) if leaks_only else expected).alias("refcount"))
 
 
 def copied_flags(entries: DataFrame, refs: DataFrame) -> DataFrame:
     """Entries whose COPIED flag is not what the reference count says (set if and only if it is 1)."""
-    e = entries.where("kind = 'standard'").join(refs.withColumnRenamed("cluster_idx", "host_cluster").select("host_cluster", "refs"), "host_cluster", "left")
+    image = _keys(refs)[:-1]
+    e = entries.where("kind = 'standard'").join(refs.select(*image, F.col("cluster_idx").alias("host_cluster"), "refs"), [*image, "host_cluster"], "left")
     e = e.withColumn("should", F.coalesce(F.col("refs") == 1, F.lit(False)))
-    return e.where("copied <> should").select("table_id", "guest_cluster", "host_cluster", "copied", "should")
+    return e.where("copied <> should").select(*image, "table_id", "guest_cluster", "host_cluster", "copied", "should")
 
 
 def crosscheck(entries: DataFrame, stored: DataFrame) -> DataFrame:
@@ -85,9 +100,10 @@ def allocate(stored: DataFrame, n: int) -> DataFrame:
 
 
 def orphans(stored: DataFrame, entries: DataFrame) -> DataFrame:
-    """Clusters in use that no entry references."""
-    used = extents(entries).select("cluster_idx").distinct()
-    return stored.where("stored > 0").select("cluster_idx").join(used, "cluster_idx", "left_anti")
+    """Clusters in use that no entry references; of each image if stored carries images."""
+    keys = _keys(stored)
+    used = extents(entries).select(*keys).distinct()
+    return stored.where("stored > 0").select(*keys).join(used, keys, "left_anti")
 
 
 def assign_orphans(orphan: DataFrame, entries: DataFrame, slots: int) -> DataFrame:

@@ -28,6 +28,12 @@ class Lenses:
     def refs(self, n: int = 0) -> DataFrame:
         return integrity.references(self.image(n)).select("cluster_idx", "refs")
 
+    def all_refs(self) -> DataFrame:
+        return integrity.references(self.u_map)
+
+    def every_ref(self) -> DataFrame:
+        return integrity.per_image(self.l_ref, self.u_map)
+
 
 def query(sql: str | None = None):
     """Registers a function of Lenses as q_<name>, with its SQL."""
@@ -430,6 +436,61 @@ def next_snapshot_id(x: Lenses) -> DataFrame:
     return ids.agg((F.coalesce(F.max(F.expr("try_cast(id as bigint)")), F.lit(0)) + 1).alias("next_id"), F.count("*").alias("snapshots"))
 
 
+#: Stored counts for every image; the queries q_*_images check all images, those without the suffix image 0 as their SQL does.
+_EVERY = f"{REFS}, every as (select * from l_ref cross join (select distinct image_id from u_map))"
+_CHECKED = f"{_EVERY}, checked as (select image_id, cluster_idx, coalesce(s.stored, 0) as stored, coalesce(r.refs, 0) as expected, s.cluster_idx is not null as known from every s full join allrefs r using (image_id, cluster_idx))"
+_LOST = f"{_EVERY}, lost as (select image_id, cluster_idx from every e where stored > 0 and not exists (select 1 from ext x where x.table_id = 1 and x.image_id = e.image_id and x.cluster_idx = e.cluster_idx))"
+
+
+@query(f"with {_CHECKED} select image_id, cluster_idx, stored, expected from checked where known and stored <> expected")
+def integrity_mismatch_images(x: Lenses) -> DataFrame:
+    return integrity.compare(x.every_ref(), x.all_refs())
+
+
+@query(f"with {_CHECKED} select image_id, cluster_idx, stored, expected from checked where stored <> expected")
+def integrity_full_images(x: Lenses) -> DataFrame:
+    return integrity.compare(x.every_ref(), x.all_refs(), full=True)
+
+
+@query(f"with {_CHECKED} select image_id, cluster_idx, stored, expected from checked where known and stored > expected")
+def integrity_leaks_images(x: Lenses) -> DataFrame:
+    return integrity.leaks(x.every_ref(), x.all_refs())
+
+
+@query(f"with {_CHECKED} select image_id, case when stored > expected then 'leak' else 'mismatch' end as kind, count(*) as issues from checked where known and stored <> expected group by 1, 2")
+def integrity_report_images(x: Lenses) -> DataFrame:
+    kind = F.when(F.col("stored") > F.col("expected"), "leak").otherwise("mismatch")
+    return integrity.compare(x.every_ref(), x.all_refs()).groupBy("image_id", kind.alias("kind")).agg(F.count("*").alias("issues"))
+
+
+@query(f"with {_CHECKED} select image_id, cluster_idx, expected as refcount from checked")
+def repair_refcounts_images(x: Lenses) -> DataFrame:
+    return integrity.repair(x.every_ref(), x.all_refs())
+
+
+@query(f"with {_CHECKED} select image_id, cluster_idx, least(stored, expected) as refcount from checked where known")
+def repair_leaks_only_images(x: Lenses) -> DataFrame:
+    return integrity.repair(x.every_ref(), x.all_refs(), leaks_only=True)
+
+
+@query(f"""with {_EVERY} select u.image_id, table_id, guest_cluster, host_cluster, copied, coalesce(r.refs = 1, false) as should from u_map u left join allrefs r
+  on r.image_id = u.image_id and r.cluster_idx = u.host_cluster where kind = 'standard' and copied <> coalesce(r.refs = 1, false)""")
+def copied_flags_images(x: Lenses) -> DataFrame:
+    return integrity.copied_flags(x.u_map, x.all_refs())
+
+
+@query(f"with {_LOST} select * from lost")
+def orphans_images(x: Lenses) -> DataFrame:
+    return integrity.orphans(x.every_ref(), x.u_map.where("table_id = 1"))
+
+
+@query("""select i.image_id, coalesce(max(try_cast(c_name as bigint)), 0) + 1 as next_id, count(c_name) as snapshots from (select distinct image_id from u_map) i left join
+  (select image_id, cast(table_id as varchar) as c_name from u_map where table_id <> 1 group by image_id, table_id) s on s.image_id = i.image_id group by i.image_id""")
+def next_snapshot_id_images(x: Lenses) -> DataFrame:
+    ids = x.u_map.select("image_id", F.when(F.col("table_id") != 1, F.col("table_id").cast("string")).alias("id")).distinct()
+    return ids.groupBy("image_id").agg((F.coalesce(F.max(F.expr("try_cast(id as bigint)")), F.lit(0)) + 1).alias("next_id"), F.count("id").alias("snapshots"))
+
+
 @query(f"with {_BITS} select * from bits")
 def stream_dirty(x: Lenses) -> DataFrame:
     """The dirty granules of the writes read as a stream to its end; the result is the batch query's."""

@@ -67,3 +67,12 @@ def test_cycles_are_found(spark):
 def test_write_of_no_length_touches_nothing(spark):
     w = spark.createDataFrame([(0, 100, 0), (0, 4095, 2)], "image_id int, offset_bytes long, len long")
     assert sorted(r.bit_no for r in dirty.dirty_bits(w, 4096).collect()) == [0, 1]
+
+
+def test_integrity_checks_every_image(x):
+    found = integrity.compare(x.every_ref(), x.all_refs(), full=True)
+    assert {r.image_id for r in found.select("image_id").distinct().collect()} == {0, 1, 2, 3}
+    same(found.where("image_id = 0").drop("image_id"), integrity.compare(x.l_ref, x.refs(), full=True))
+    same(found.where("image_id = 2").drop("image_id"), integrity.compare(x.l_ref, x.refs(2), full=True))
+    fixed = integrity.repair(x.every_ref(), x.all_refs()).withColumnRenamed("refcount", "stored")
+    assert integrity.compare(fixed, x.all_refs(), full=True).count() == 0

@@ -107,15 +107,25 @@ def orphans(stored: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def assign_orphans(orphan: DataFrame, entries: DataFrame, slots: int) -> DataFrame:
-    """The k-th orphan takes the k-th free guest slot below `slots`."""
+    """The k-th orphan takes the k-th free guest slot, of each image if the orphans carry images.
+
+    There are `slots` slots, or as many as the entries and orphans of an image are if that is more, so no orphan is lost.
+    """
     from .mapping import ranked
 
     spark = orphan.sparkSession
-    free = spark.range(slots).select(F.col("id").alias("guest_cluster")).join(entries.select("guest_cluster").distinct(), "guest_cluster", "left_anti")
-    one = F.lit(0).alias("all")
-    a = ranked(orphan.select("*", one), "all", "cluster_idx").drop("all")
-    b = ranked(free.select("*", one), "all", "guest_cluster").drop("all")
-    return a.join(b, "rank").select("cluster_idx", "guest_cluster")
+    image = _keys(orphan)[:-1]
+    taken = entries.select(*image, "guest_cluster").distinct()
+    sizes = orphan.select(*image).unionByName(taken.select(*image)).groupBy(*image).agg(F.count("*").alias("n"))
+    slots = max(slots, sizes.agg(F.max("n")).first()[0] or 0)
+    every = spark.range(slots).select(F.col("id").alias("guest_cluster"))
+    if image:
+        every = every.crossJoin(orphan.select(*image).distinct())
+    free = every.join(taken, [*image, "guest_cluster"], "left_anti")
+    part = F.col("image_id") if image else F.lit(0)
+    a = ranked(orphan.withColumn("all", part), "all", "cluster_idx")
+    b = ranked(free.select("guest_cluster", part.alias("all")), "all", "guest_cluster")
+    return a.join(b, ["all", "rank"]).select(*image, "cluster_idx", "guest_cluster")
 
 
 def keep_best_tables(entries: DataFrame, known: DataFrame, per_table: int = 512) -> DataFrame:

@@ -484,6 +484,14 @@ def orphans_images(x: Lenses) -> DataFrame:
     return integrity.orphans(x.every_ref(), x.u_map.where("table_id = 1"))
 
 
+@query(f"""with {_LOST}, slots as (select unnest(range(0, greatest(20000, (select count(*) from lost) + (select count(*) from u_map)))) as g) select image_id, cluster_idx, guest_cluster
+  from (select *, row_number() over (partition by image_id order by cluster_idx) as rn from lost) join (select image_id, g as guest_cluster, row_number() over (partition by image_id order by g) as rn
+  from slots cross join (select distinct image_id from u_map) i where not exists (select 1 from u_map u where u.table_id = 1 and u.image_id = i.image_id and u.guest_cluster = g)) using (image_id, rn)""")
+def orphan_assign_images(x: Lenses) -> DataFrame:
+    active = x.u_map.where("table_id = 1")
+    return integrity.assign_orphans(integrity.orphans(x.every_ref(), active), active, 20_000)
+
+
 @query("""select i.image_id, coalesce(max(try_cast(c_name as bigint)), 0) + 1 as next_id, count(c_name) as snapshots from (select distinct image_id from u_map) i left join
   (select image_id, cast(table_id as varchar) as c_name from u_map where table_id <> 1 group by image_id, table_id) s on s.image_id = i.image_id group by i.image_id""")
 def next_snapshot_id_images(x: Lenses) -> DataFrame:

@@ -76,3 +76,13 @@ def test_integrity_checks_every_image(x):
     same(found.where("image_id = 2").drop("image_id"), integrity.compare(x.l_ref, x.refs(2), full=True))
     fixed = integrity.repair(x.every_ref(), x.all_refs()).withColumnRenamed("refcount", "stored")
     assert integrity.compare(fixed, x.all_refs(), full=True).count() == 0
+
+
+def test_no_orphan_is_lost_for_want_of_slots(spark):
+    entries = spark.createDataFrame([(0, 0), (0, 2), (0, 90), (1, 1)], "image_id long, guest_cluster long")
+    orphan = spark.createDataFrame([(i, 100 + k) for i, n in ((0, 12), (1, 3)) for k in range(n)], "image_id long, cluster_idx long")
+    got = {(r.image_id, r.cluster_idx): r.guest_cluster for r in integrity.assign_orphans(orphan, entries, 4).collect()}
+    assert got == {**{(0, 100 + k): g for k, g in enumerate([1, 3, *range(4, 14)])}, (1, 100): 0, (1, 101): 2, (1, 102): 3}
+    one = orphan.where("image_id = 0").select("cluster_idx")
+    assert integrity.assign_orphans(one, entries.where("image_id = 0"), 4).count() == 12
+    assert integrity.assign_orphans(one.limit(0), entries.limit(0), 0).count() == 0

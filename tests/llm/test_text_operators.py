@@ -115,6 +115,15 @@ def test_common_lines_deplete(spark):
     assert got[0][1] == 8 * 13 and got[50][1] == 0 and got[99] == (True, 0)
 
 
+
+def test_common_lines_of_a_large_source(spark):
+    word = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    line = lambda i: " ".join(f"{word(i)}q{word(k)}" for k in range(60))
+    common = line(90_000)
+    data = [(i, line(i), "h") for i in range(1500)] + [(2000 + i, common, "h") for i in range(25)]
+    got = {r.doc_id: (r.kept, r.n_line_words_removed) for r in rules.quality_rules(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
+    assert all(got[i] == (True, 0) for i in range(1500)) and all(got[2000 + i] == (False, 60) for i in range(25))
+
 ODD = ["", "a  b", "a   b", "  a", "a ", "a  ", " a \n b", "a\n  b", "don't I'll", "<|endoftext|>hi <|endoftext|> yo", "日本語 テキスト", "a\x1cb c", "aaaaaaaaaaa aaaa aaa", "½ ² x²", "\r\n a\r\n", "é ª º µ", "a  b", "x" * 3000]
 
 

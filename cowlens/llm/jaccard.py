@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, cut_rows, partitions, ship, text_pieces
+from .shared import cut, cut_rows, partitions, release, ship, text_pieces
 from .textops import Words, mix, shingles
 
 SKETCH_BITS, SLICE = 20, 4096
@@ -43,6 +43,7 @@ BROADCAST_IDS = 500_000
 
 def _sets(column, width: int):
     """(first row, hashes, begins, nodes) for runs of rows; a node is null where there are no shingles."""
+    release()
     for i, _, buf, offs in text_pieces(column):
         h, begin = shingles(Words(buf, offs, lower=True), width)
         yield i, h, begin, _nodes(h, begin)
@@ -137,8 +138,9 @@ def _unpack(blobs: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), ENTRY)
 
 
-def tiles(docs: DataFrame, rank, width: int, percent: int, buckets: int) -> DataFrame:
+def tiles(docs: DataFrame, rank, width: int, percent: int, parts: int) -> DataFrame:
     """(bucket, entries): prefix shingles that two nodes at least share, with those nodes and their sizes."""
+    buckets = 8 * parts  # several a partition, so that partitions are of about equal size
 
     def send(batches):
         order_of = rank.value
@@ -189,8 +191,8 @@ def tiles(docs: DataFrame, rank, width: int, percent: int, buckets: int) -> Data
         return pa.table({"bucket": t.column("bucket")[:1].cast(pa.int32()), "entries": pa.array([e[np.lexsort((e["node"], e["h"]))].tobytes()], pa.binary())})
 
     sent = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(send, "bucket int, entries binary")
-    found = sent.groupBy("bucket").applyInArrow(match, "bucket int, entries binary")
-    return found.groupBy("bucket").applyInArrow(gather, "bucket int, entries binary")
+    found = sent.repartition(parts, "bucket").groupBy("bucket").applyInArrow(match, "bucket int, entries binary")
+    return found.repartition(parts, "bucket").groupBy("bucket").applyInArrow(gather, "bucket int, entries binary")
 
 
 def _bounds(e: np.ndarray) -> np.ndarray:

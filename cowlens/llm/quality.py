@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import least_hashes, ship, text_pieces
+from .shared import least_hashes, release, ship, text_pieces
 from .textops import Words
 
 BITS, RANK = 14, 8
@@ -151,6 +151,7 @@ def score(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        release()
         for b in batches:
             parts = [sent.value.score(*x) for _, *x in features(b.column("text"))]
             s = np.concatenate(parts) if parts else np.zeros(0)

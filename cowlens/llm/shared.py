@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import io
 import os
 import sys
@@ -101,14 +103,32 @@ def least_hashes(ids: DataFrame, sample: int, seed: int) -> list:
 
 
 def worker_store(name: str, make):
-    """State that a Python worker keeps from task to task (caches of pure functions)."""
+    """State that a Python worker keeps from task to task (caches of pure functions), of one operator at a time.
+
+    What another operator, model or vocabulary has left there is dropped first, so that a pipeline's stages don't add up.
+    """
     store = sys.__dict__.setdefault("_cowlens_store", {})
     if name not in store:
+        release()
         store[name] = make()
     return store[name]
 
 
-def text_pieces(column, most: int = 1 << 21):
+def release() -> None:
+    """Drop what the worker keeps, and hand the memory back; operators that keep nothing call this as they begin."""
+    store = sys.__dict__.get("_cowlens_store")
+    if not store:
+        return
+    store.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def text_pieces(column, most: int = 1 << 20):
     """Cut an Arrow string column into runs of rows of about `most` bytes.
 
     Yields (first row, last row + 1, bytes as uint8 array, offsets into it). Null counts as empty.

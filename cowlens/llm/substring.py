@@ -6,16 +6,18 @@ positions, and only those positions need hashing: |D|/v of all. Two rounds follo
 texts, to the bucket that owns them and back to the block of documents that asked:
 
 1. anchors at cover positions: which of a block's anchors occur elsewhere, too;
-2. every window that reaches over such an anchor is extended to its whole width and hashed with 128 bits: which of
-   them start in two places.
+2. every window that reaches over such an anchor is extended to its whole width and hashed with 128 bits, two streams
+   that are independent from the words on: which of them start in two places.
 
 A block sends each hash at most twice, so a passage that a third of all documents hold costs a bucket two entries
-a block, however often it occurs. Blocks are dealt by a hash of the row; the exchange of the documents is one, used
-three times.
+a block, however often it occurs. Blocks are dealt by a hash of the row's number, so rows that repeat are spread;
+docs should be a table whose rows keep their order when they are read again (files, a checkpoint). The exchange of the
+documents is one, used three times.
 
 Defined results: null and empty texts have no words, nothing is removed, and what is kept is the empty string.
 Texts shorter than the window are kept. Rows that repeat (same doc_id, same text) are different places, so their
-windows repeat. Null doc_ids are kept. Extra columns are carried if named.
+windows repeat. Null doc_ids are kept. Extra columns are carried if named; a clash of these with the result's is an error
+that names them.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, ship, text_pieces
+from .shared import partitions, release, ship, text_pieces
 from .textops import Words, ranges
 
 #: Difference covers: period and residues whose differences take every value.
@@ -98,28 +100,32 @@ def _known(t: pa.Table, columns: int) -> np.ndarray:
 
 
 def _member(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Which rows of keys are rows of among."""
+    """Which keys are in the sorted array."""
     if not len(among):
         return np.zeros(len(keys), bool)
-    if keys.shape[1] == 1:
-        a = np.sort(among[:, 0])
-        at = np.minimum(np.searchsorted(a, keys[:, 0]), len(a) - 1)
-        return a[at] == keys[:, 0]
-    a = among[np.argsort(among[:, 0], kind="stable")]
-    out = np.zeros(len(keys), bool)
-    lo, hi = np.searchsorted(a[:, 0], keys[:, 0], "left"), np.searchsorted(a[:, 0], keys[:, 0], "right")
-    step, todo = lo.copy(), np.flatnonzero(lo < hi)
+    return among[np.minimum(np.searchsorted(among, keys), len(among) - 1)] == keys
+
+
+def _repeated(words: Words, width: int, starts: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Those of the window starts whose two hashes are a row of known, which is sorted by its first column."""
+    starts = starts[_member(words.windows(width, 0)[starts], known[:, 0])]
+    if not len(starts):
+        return starts
+    a, b = words.windows(width, 0)[starts], words.windows(width, 1)[starts]
+    out = np.zeros(len(starts), bool)
+    step, hi = np.searchsorted(known[:, 0], a, "left"), np.searchsorted(known[:, 0], a, "right")
+    todo = np.arange(len(starts))
     while len(todo):  # almost always one round: first words rarely agree by chance
-        out[todo] |= a[step[todo], 1] == keys[todo, 1]
+        out[todo] |= known[step[todo], 1] == b[todo]
         step[todo] += 1
         todo = todo[(step[todo] < hi[todo]) & ~out[todo]]
-    return out
+    return starts[out]
 
 
 def _candidates(words: Words, width: int, shared: np.ndarray) -> np.ndarray:
     """Window starts that reach over a shared anchor."""
     at, anchor = _at_cover(words, width)
-    hit = at[_member(words.windows(anchor)[at].reshape(-1, 1), shared)] if len(at) else at
+    hit = at[_member(words.windows(anchor)[at], shared)] if len(at) else at
     if not len(hit):
         return hit
     reach = np.zeros(len(words.starts) + 1, np.int64)
@@ -146,42 +152,45 @@ def remove_repeated(docs: DataFrame, width: int = 35, carry: list[str] | None =
         raise ValueError(f"cannot carry columns of these names: {sorted(clash)}")
     ship(docs.sparkSession)
     n = partitions(docs)
-    blocks = 2 * n
+    blocks = buckets = 8 * n  # several a partition, so that partitions are of about equal size
     id_type = docs.schema["doc_id"].dataType.simpleString()
     dealt = (
         docs.select("doc_id", F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text"))
-        .withColumn("block", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(blocks)).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
         .repartition(n, "block")
     )
 
     def anchors(t: pa.Table) -> pa.Table:
+        release()
         parts = []
         for _, _, buf, offs in text_pieces(t.column("text")):
             words = Words(buf, offs)
             at, anchor = _at_cover(words, width)
             if len(at):
                 parts.append(_twice(words.windows(anchor)[at].reshape(-1, 1)))
-        return _send(parts, 1, t.column("block")[0].as_py(), n)
+        return _send(parts, 1, t.column("block")[0].as_py(), buckets)
 
     def windows(t: pa.Table, back: pa.Table) -> pa.Table:
         if not t.num_rows or not back.num_rows:
-            return _send([], 2, 0, n)
-        shared, parts = _known(back, 1), []
+            return _send([], 2, 0, buckets)
+        shared, parts = np.sort(_known(back, 1)[:, 0]), []
         for _, _, buf, offs in text_pieces(t.column("text")):
             words = Words(buf, offs)
             starts = _candidates(words, width, shared)
             if len(starts):
                 parts.append(_twice(_window_keys(words, width, starts)))
-        return _send(parts, 2, t.column("block")[0].as_py(), n)
+        return _send(parts, 2, t.column("block")[0].as_py(), buckets)
 
     def cut(t: pa.Table, back: pa.Table) -> pa.Table:
+        release()
         repeated, counts, removed, kept = _known(back, 2), [], [], []
+        repeated = repeated[np.argsort(repeated[:, 0], kind="stable")]
         for i, j, buf, offs in text_pieces(t.column("text")):
             words = Words(buf, offs)
             gone = np.zeros(len(words.starts), bool)
             starts = words.window_starts(width)
             if len(starts) and len(repeated):
-                hit = starts[_member(_window_keys(words, width, starts), repeated)]
+                hit = _repeated(words, width, starts, repeated)
                 gone[ranges(hit, np.full(len(hit), width))] = True
             total = np.r_[0, np.cumsum(gone)]
             away = total[words.first[1:]] - total[words.first[:-1]]
@@ -197,7 +206,7 @@ def remove_repeated(docs: DataFrame, width: int = 35, carry: list[str] | None =
         return pa.table({"doc_id": t.column("doc_id"), "n_words": join(counts), "n_removed": join(removed), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())} | {c: t.column(c) for c in carry})
 
     def ask(sent: DataFrame, columns: int) -> DataFrame:
-        return sent.groupBy("bucket").applyInArrow(_match(columns), BACK).repartition(n, "block").groupBy("block")
+        return sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(_match(columns), BACK).repartition(n, "block").groupBy("block")
 
     by_block = dealt.groupBy("block")
     shared = ask(by_block.applyInArrow(anchors, SENT), 1)

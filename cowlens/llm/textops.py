@@ -1,53 +1,47 @@
 """Word, window and shingle hashes of many texts at once, on the bytes of an Arrow string column.
 
-All hashes are sums of 64-bit terms times powers of an odd base, modulo 2**64. The base has an inverse, so a
-window's hash is a difference of prefix sums times a power of the inverse; a finaliser then mixes the bits.
+A word is read in lanes of eight bytes, which a mixer that is one-to-one folds in one after the other; words of more
+than LONG bytes are hashed by BLAKE2. A window's hash is that of two overlapping halves, mixed, down to single words.
+Nothing is a polynomial, so no pattern of bytes or words makes two of them agree but by the chance of 64 bits; a
+second stream of other constants, from the words on, gives 128 bits where `stream=1` is asked for too.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _U = np.uint64
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
-    """Finaliser of splitmix64."""
+    """Finaliser of splitmix64; one-to-one for each salt."""
     with np.errstate(over="ignore"):
         x = x + _U((0x9E3779B97F4A7C15 * (2 * salt + 1)) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-        return x ^ (x >> _U(31))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> _U(shift)
+            x *= _U(factor)
+        x ^= x >> _U(31)
+    return x
 
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_TABLE = mix(np.arange(256, dtype=_U), 11)
-_TABLE[SPACE] = 0
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASES = (0x9E3779B97F4A7C1B, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Words of more bytes than this are hashed one by one.
+LONG = 256
+#: Bytes of a lane that belong to a word with so many bytes left.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
-def powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """B**i and B**-i for i < n, kept and doubled as needed."""
-    have = _powers.get(k)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(12, (n - 1).bit_length())
-        base, inv = _BASES[k], pow(_BASES[k], -1, 1 << 64)
-        out = []
-        for b in (base, inv):
-            p = np.full(size, b, _U)
-            p[0] = 1
-            with np.errstate(over="ignore"):
-                np.multiply.accumulate(p, out=p)
-            out.append(p)
-        if size > 1 << 22:  # long texts are rare; their tables are not kept
-            return out[0], out[1]
-        have = _powers[k] = (out[0], out[1])
-    return have
+def lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as little-endian numbers; zeros beyond the end."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
 
 
 class Words:
@@ -71,25 +65,48 @@ class Words:
         self.starts, self.ends = np.flatnonzero(begins), np.flatnonzero(ends)
         self.first = np.searchsorted(self.starts, offs, "left")  # of each text, and the total
         self.count = np.diff(self.first)
-        self.hash = np.zeros(0, _U)
-        if len(self.starts):
-            pw, inv = powers(0, n)
-            with np.errstate(over="ignore"):
-                terms = _TABLE[LOWER[buf] if lower else buf] * pw[:n]
-                self.hash = mix(np.add.reduceat(terms, self.starts) * inv[self.starts] + (self.ends - self.starts).astype(_U))
-
-    def windows(self, width: int, salt: int = 0) -> np.ndarray:
+        self._buf = LOWER[buf] if lower else buf
+        self._hashes: dict[int, np.ndarray] = {}
+
+    @property
+    def hash(self) -> np.ndarray:
+        return self.hashes(0)
+
+    def hashes(self, stream: int) -> np.ndarray:
+        """64 bits of each word; streams 0 and 1 are independent."""
+        if stream not in self._hashes:
+            self._hashes[stream] = self._read(stream)
+        return self._hashes[stream]
+
+    def _read(self, stream: int) -> np.ndarray:
+        size, lane = self.ends - self.starts, lanes(self._buf)
+        h = mix(size.astype(_U), 41 + stream)
+        todo, k = np.arange(len(size)), 0
+        if len(size) and (far := size > LONG).any():
+            todo = np.flatnonzero(~far)
+            for i in np.flatnonzero(far):
+                digest = hashlib.blake2b(self._buf[self.starts[i] : self.ends[i]].tobytes(), digest_size=16).digest()
+                h[i] = int.from_bytes(digest[8 * stream : 8 * stream + 8], "little")
+        else:  # the first lane of all at once
+            h = mix(h ^ (lane[self.starts] & _KEEP[np.minimum(size, 8)]), 43 + stream)
+            todo, k = np.flatnonzero(size > 8), 1
+        while len(todo):
+            left = size[todo] - 8 * k
+            h[todo] = mix(h[todo] ^ (lane[self.starts[todo] + 8 * k] & _KEEP[np.minimum(left, 8)]), 43 + stream)
+            todo, k = todo[left > 8], k + 1
+        return h
+
+    def windows(self, width: int, stream: int = 0) -> np.ndarray:
         """Hash of the words i .. i+width-1 for every i; those that cross texts are for the caller to leave out."""
-        g = mix(self.hash, salt + 1)
-        n = len(g) - width + 1
-        if n <= 0:
+        g, have = self.hashes(stream), 1
+        if len(g) < width:
             return np.zeros(0, _U)
-        pw, inv = powers(1 + salt % 2, len(g))
-        with np.errstate(over="ignore"):
-            total = np.empty(len(g) + 1, _U)
-            total[0] = 0
-            np.cumsum(g * pw[: len(g)], out=total[1:])
-            return mix((total[width:] - total[:n]) * inv[:n], salt + 7)
+        while have < width:  # two overlapping runs of `have` words make one of up to twice as many
+            step = min(have, width - have)
+            with np.errstate(over="ignore"):
+                g = mix(g[:-step] * _U(0xD6E8FEB86659FD93) + g[step:], 47 + 2 * step + stream)
+            have += step
+        return mix(g, 7 + stream)
 
     def text_of(self) -> np.ndarray:
         """Index of the text of each word."""
@@ -121,8 +138,7 @@ def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(words.count)), np.maximum(words.count - width + 1, 0))
     short = np.flatnonzero((words.count > 0) & (words.count < width))
     if len(short):
-        extra = np.array([_whole(words.hash[words.first[i] : words.first[i + 1]]) for i in short], _U)
-        h, owner = np.concatenate([h, extra]), np.concatenate([owner, short])
+        h, owner = np.concatenate([h, _whole(words, short, width)]), np.concatenate([owner, short])
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
     if len(h):
@@ -132,8 +148,10 @@ def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(owner, np.arange(len(words.count) + 1), "left")
 
 
-def _whole(hashes: np.ndarray) -> int:
-    out = _U(len(hashes))
-    for x in hashes:
-        out = mix(np.array([out], _U), 3)[0] ^ x
-    return mix(np.array([out], _U), 5)[0]
+def _whole(words: Words, which: np.ndarray, width: int) -> np.ndarray:
+    """Hash of all words of texts with fewer than `width`."""
+    out = mix(words.count[which].astype(_U), 3)
+    for k in range(width - 1):
+        on = np.flatnonzero(words.count[which] > k)
+        out[on] = mix(out[on] ^ words.hash[words.first[which[on]] + k], 5)
+    return out

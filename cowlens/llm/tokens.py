@@ -3,8 +3,8 @@
 Texts are cut at spaces into chunks, chunks by the vocabulary's pre-tokeniser pattern into pieces. All pieces that
 a batch needs and the worker has not met yet are merged together: they lie end to end in one array of symbols, and
 each round finds every sequence's lowest-ranked adjacent pair and applies it at once in all sequences. Sequences
-without a pair left are done; what survives are the tokens. Counts are kept by piece and chunk, as pure functions
-of the string, so the keeping changes speed only.
+without a pair left are done; what survives are the tokens. Counts are kept by chunk, as pure functions of the
+string, so the keeping changes speed only. A piece of over LONG_PIECE bytes goes through a heap of its pairs instead.
 
 Defined results: null and empty texts have 0 bytes and 0 tokens. Special strings inside a text are single tokens, as
 in the library's default. No truncation at any length. Repeated rows are counted row by row; extra columns are
@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import islice
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import ship, worker_store
+from .chunks import Chunks
+from .shared import ship, text_pieces, worker_store
 
-#: Entries that a worker keeps before it starts afresh; a bound of memory, without influence on results.
-KEPT_CHUNKS, KEPT_PIECES = 600_000, 400_000
 NO_RANK = np.iinfo(np.int32).max
+#: Pieces of more bytes than this are merged one by one.
+LONG_PIECE = 1024
 
 # Pre-tokeniser pattern of byte-level BPE, for any text (Unicode properties), and the same over ASCII and the Latin-1
 # letters only, where Python's faster engine agrees with it.
@@ -37,14 +39,6 @@ ANY = regex.compile(
 )
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
-NOT_PLAIN = re.compile(rf"[^\t-\r -~{_L}]")
-#: Spaces at which a text may not be cut: inside a longer run of white space, or at its end.
-INNER_SPACE = re.compile(r"(?:^|\s) (?=\s|$)| $")
-
-
-def cuttable(text: str) -> bool:
-    """Whether cutting before each space leaves the pre-tokens unchanged."""
-    return not NOT_PLAIN.search(text) and not INNER_SPACE.search(text)
 
 
 class PairTable:
@@ -103,16 +97,53 @@ class Merger:
         self.byte = np.array([ids.get(char[b], -1) for b in range(256)], np.int32)
         self.table = PairTable(*(np.array(x, np.int64) for x in zip(*((ids[a], ids[b], ids[a + b]) for a, b in pairs), strict=True)))
         added = spec.get("added_tokens") or []
+        added = [a for a in added if a["content"]]
         if any(a.get("lstrip") or a.get("rstrip") or a.get("single_word") for a in added):
             raise ValueError("added tokens that strip spaces or match whole words only are not supported")
+        self.pairs: dict[int, int] | None = None
+        self.added = [a["content"] for a in added]
         self.special = re.compile("|".join(re.escape(x) for x in sorted((a["content"] for a in added), key=lambda x: -len(x)))) if added else None
 
+    def _long(self, piece: bytes) -> int:
+        """Number of symbols that one long piece ends with. Its pairs wait in a heap by rank and place, so a merge costs
+        its neighbours alone, where a round over arrays costs the whole piece."""
+        if self.pairs is None:
+            t = self.table
+            at = np.flatnonzero(t.keys >= 0)
+            self.pairs = dict(zip(t.keys[at].tolist(), t.rank[at].tolist(), strict=True))
+        sym = self.byte[np.frombuffer(piece, np.uint8)].tolist()
+        n = len(sym)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        first = self.table.ranks(np.array(sym[:-1]), np.array(sym[1:]))
+        heap = [(r, i) for i, r in enumerate(first.tolist()) if r != NO_RANK]
+        heapify(heap)
+        left = n
+        while heap:
+            rank, i = heappop(heap)
+            j = after[i]
+            if j < 0 or sym[i] < 0 or self.pairs.get(sym[i] << 32 | sym[j]) != rank:
+                continue
+            sym[i], sym[j] = int(self.table.merged[rank]), -1
+            k = after[i] = after[j]
+            left -= 1
+            if k >= 0:
+                before[k] = i
+                if (r := self.pairs.get(sym[i] << 32 | sym[k])) is not None:
+                    heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := self.pairs.get(sym[h] << 32 | sym[i])) is not None:
+                heappush(heap, (r, h))
+        return left
+
     def surviving(self, pieces: list[bytes]) -> np.ndarray:
         """Number of symbols that each piece ends with."""
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         out = np.zeros(len(pieces), np.int64)
-        sym = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
-        seq = np.repeat(np.arange(len(pieces)), size)
+        long = np.flatnonzero(size > LONG_PIECE)
+        for i in long.tolist():
+            out[i] = self._long(pieces[i])
+        here = np.flatnonzero(size <= LONG_PIECE)
+        sym = self.byte[np.frombuffer(b"".join(pieces) if not len(long) else b"".join(pieces[i] for i in here.tolist()), np.uint8)]
+        seq = np.repeat(here, size[here])
         while len(sym):
             rank = np.full(len(sym), NO_RANK, np.int32)
             same = np.flatnonzero(seq[1:] == seq[:-1])
@@ -138,46 +169,50 @@ class Merger:
 class Counter:
     """Counts tokens of texts with one vocabulary; one for each Python worker."""
 
-    def __init__(self, path: str):
-        self.merger, self.chunks, self.pieces = Merger(path), {}, {}
-
-    def _learn_pieces(self, pieces: set[str]) -> None:
-        if len(self.pieces) > KEPT_PIECES:
-            self.pieces.clear()
-        new, rest = [x for x in pieces if x not in self.pieces], None
-        while rest := new[:65_536]:
-            new = new[65_536:]
-            self.pieces.update(zip(rest, self.merger.surviving([x.encode("utf-8", "surrogatepass") for x in rest]).tolist(), strict=True))
+    def __init__(self, path: str, bits: int = 20):
+        self.merger = Merger(path)
+        special = [x.encode() for x in self.merger.added]
+        self.chunks = Chunks(self._learn, self._whole, special, np.dtype(np.int64), bits)
 
-    def _by_pattern(self, pattern, texts: list[str]) -> list[int]:
+    def _by_pattern(self, pattern, texts: list[str]) -> np.ndarray:
         found = [pattern.findall(x) for x in texts]
-        self._learn_pieces({y for x in found for y in x})
-        return [sum(map(self.pieces.__getitem__, x)) for x in found]
-
-    def count(self, texts: list[str]) -> list[int]:
-        out, parts, owner = [0] * len(texts), [], []
-        for i, text in enumerate(texts):
-            if self.merger.special and (many := len(self.merger.special.findall(text))):
-                out[i] = many
-                cut = self.merger.special.split(text)
-            else:
-                cut = [text]
+        pieces = {x: k for k, x in enumerate(dict.fromkeys(chain.from_iterable(found)))}
+        names, counts = list(pieces), [np.zeros(0, np.int64)]
+        for at in range(0, len(names), 65_536):
+            counts.append(self.merger.surviving([x.encode("utf-8", "surrogatepass") for x in names[at : at + 65_536]]))
+        each = np.concatenate(counts)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        total = np.r_[0, np.cumsum(each[np.fromiter((pieces[x] for x in chain.from_iterable(found)), np.int64, int(size.sum()))])]
+        end = np.cumsum(size)
+        return total[end] - total[end - size]
+
+    def _learn(self, raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._by_pattern(PLAIN, _strings(raw, ends)), np.ones(len(ends), np.int64)
+
+    def _whole(self, raw: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts of any letters, with special strings, each of which is one token."""
+        out, parts, owner = np.zeros(len(ends), np.int64), [], []
+        for i, text in enumerate(_strings(raw, ends)):
+            cut = self.merger.special.split(text) if self.merger.special else [text]
+            out[i] = len(cut) - 1
             parts += cut
             owner += [i] * len(cut)
-        odd = [k for k, x in enumerate(parts) if not cuttable(x)]
-        for k, n in zip(odd, self._by_pattern(ANY, [parts[k] for k in odd]), strict=True):
-            out[owner[k]] += n
-            parts[k] = ""
-        if len(self.chunks) > KEPT_CHUNKS:
-            self.chunks.clear()
-        cut = [x.split(" ") if x else None for x in parts]
-        heads = [(k, x[0]) for k, x in enumerate(cut) if x]
-        need = {y for x in cut if x for y in islice(x, 1, None)} - self.chunks.keys()
-        need = list(need)
-        self.chunks.update(zip(need, self._by_pattern(PLAIN, [" " + x for x in need]), strict=True))
-        for (k, _), n in zip(heads, self._by_pattern(PLAIN, [x for _, x in heads]), strict=True):
-            out[owner[k]] += n + sum(map(self.chunks.__getitem__, islice(cut[k], 1, None)))
-        return out
+        np.add.at(out, owner, self._by_pattern(ANY, parts))
+        return out, np.ones(len(ends), np.int64)
+
+    def count(self, texts) -> np.ndarray:
+        """Tokens of each text of an Arrow string array (or list)."""
+        out = [np.zeros(0, np.int64)]
+        for _, _, buf, offs in text_pieces(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())):
+            values, begin = self.chunks.read(buf, offs)
+            total = np.r_[0, np.cumsum(values)]
+            out.append(total[begin[1:]] - total[begin[:-1]])
+        return np.concatenate(out)
+
+
+def _strings(raw: bytes, ends: np.ndarray) -> list[str]:
+    ends = ends.tolist()
+    return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *ends], ends)]
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text: str = "text") -> DataFrame:
@@ -192,12 +227,9 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, text: str = "tex
     def run(batches):
         counter = worker_store(f"tokens:{path}", lambda: Counter(path))
         for b in batches:
-            col, sizes, counts = b.column(text), [], []
-            for at in range(0, len(col), 512):
-                texts = [x or "" for x in col.slice(at, 512).to_pylist()]
-                sizes += [len(x.encode("utf-8", "surrogatepass")) for x in texts]
-                counts += counter.count(texts)
-            n = pa.array(counts, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sizes, pa.int64()), n, pa.array([x > limit for x in counts], pa.bool_())], names=[*keep, *new])
+            col = b.column(text)
+            sizes = [np.diff(offs) for _, _, _, offs in text_pieces(col)]
+            counts = counter.count(col)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(np.concatenate([np.zeros(0, np.int64), *sizes])), pa.array(counts), pa.array(counts > limit)], names=[*keep, *new])
 
     return docs.mapInArrow(run, schema)

@@ -140,7 +140,7 @@ def _unpack(blobs: list[bytes]) -> np.ndarray:
 
 def tiles(docs: DataFrame, rank, width: int, percent: int, parts: int) -> DataFrame:
     """(bucket, entries): prefix shingles that two nodes at least share, with those nodes and their sizes."""
-    buckets = 8 * parts  # several a partition, so that partitions are of about equal size
+    buckets = parts
 
     def send(batches):
         order_of = rank.value

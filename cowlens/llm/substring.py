@@ -152,7 +152,7 @@ def remove_repeated(docs: DataFrame, width: int = 35, carry: list[str] | None =
         raise ValueError(f"cannot carry columns of these names: {sorted(clash)}")
     ship(docs.sparkSession)
     n = partitions(docs)
-    blocks = buckets = 8 * n  # several a partition, so that partitions are of about equal size
+    blocks, buckets = 2 * n, n
     id_type = docs.schema["doc_id"].dataType.simpleString()
     dealt = (
         docs.select("doc_id", F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text"))

@@ -104,8 +104,11 @@ class Words:
         while have < width:  # two overlapping runs of `have` words make one of up to twice as many
             step = min(have, width - have)
             with np.errstate(over="ignore"):
-                g = mix(g[:-step] * _U(0xD6E8FEB86659FD93) + g[step:], 47 + 2 * step + stream)
-            have += step
+                h = g[:-step] * _U(0xD6E8FEB86659FD93)
+                h += g[step:]
+                h ^= h >> _U(32)
+                h *= _U((0xA0761D6478BD642F, 0xE7037ED1A0B428DB)[stream])
+            g, have = h, have + step
         return mix(g, 7 + stream)
 
     def text_of(self) -> np.ndarray:

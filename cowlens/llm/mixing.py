@@ -1,15 +1,20 @@
 """Mixing sources to target weights by entropy balancing, in DataFrame functions only.
 
-A document of z (its size over its source's mean) gets the rate r = 2 / (1 + exp(-t z)), the bounded exponential
-tilt that is nearest to one copy each, in relative entropy, of all rates in [0, 2] that meet the source's token
-target. The dual is one convex function of t for each source; Newton steps, kept inside a bracket, solve all sources
-at once by aggregations over the histogram (source, size, documents). Rates become copies by a hash of the document:
-floor(r + u + shift), with the source's shift searched so that the copies' words, not only their expectation, come
-to the target; then one document of each source gets a copy more or less, if that comes nearer.
+A document of z (its size over its source's mean) gets the rate r = min(2, exp(t z)): of all rates in [0, 2] that meet
+the source's token target, these are nearest to one copy each, in relative entropy (sum of r log r - r + 1). The dual is
+one convex function of t for each source; Newton steps, kept inside a bracket, solve all sources at once by
+aggregations over the histogram (source, size, documents), a few steps a job. Rates become copies by a hash of the
+document: floor(r + u + shift), with the source's shift searched so that the copies' words, not only their
+expectation, come to the target; then one document of each source gets a copy more or less, if that comes nearer.
+
+Rows that repeat (doc_id and size) are numbered, and their u's are spread evenly from the first, so a document that
+fills a source is split over its copies. Numbers are those of the row within its partition, plus a prefix sum over the
+partitions, so no task sorts all repeats of a row.
 
 Defined results: null texts have size 0; size 0 takes nothing. Null sources come last in the order of weights.
-Sources at their cap of 2 take all documents twice. Empty tables give no rows. Repeated rows share a hash, so they
-get equal copies. Reruns agree, since nothing depends on order or on chance.
+Sources at their cap of 2 take all documents twice. Empty tables give no rows. Extra columns, of any name, are carried by
+`mix` (those that it gives are replaced) and not by `mix_sizes`. Reruns agree, since nothing depends on order or on
+chance: repeated rows may swap their copies, which no column shows.
 """
 
 from __future__ import annotations
@@ -20,13 +25,43 @@ from pyspark.sql import functions as F
 from .shared import WORD_PATTERN, cut_table as cut
 
 WEIGHTS = (3.0, 1.0, 2.0)
+CAP = 2.0
+#: Repeated (doc_id, size) up to this number are sent to all executors (some 50 bytes each); beyond, they are shuffled.
+BROADCAST_REPEATS = 200_000
+GOLDEN = 0.6180339887498949
 
 
-def sized(docs: DataFrame, seed: int = 29) -> DataFrame:
-    """docs with __size, the words of each text, and __u, a number in [0, 1) from its doc_id and size."""
+def sized(docs: DataFrame, *columns) -> DataFrame:
+    """doc_id, source, size (words of the text), the row's place, and other columns."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", size), 11).cast("double") / float(1 << 53)
-    return docs.withColumn("__size", size).withColumn("__u", u)
+    return docs.select(
+        F.col("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"),
+        F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row"), *columns,
+    )
+
+
+def repeats_of(rows: DataFrame) -> DataFrame | None:
+    """(doc_id, size) of more than one row; None if there are none."""
+    found = cut(rows.groupBy("doc_id", "size").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("r_id"), F.col("size").alias("r_size")))
+    many = found.count()
+    return None if not many else F.broadcast(found) if many <= BROADCAST_REPEATS else found
+
+
+def with_u(rows: DataFrame, repeats: DataFrame | None, seed: int) -> DataFrame:
+    """rows without their places, and u: a number in [0, 1) from doc_id, size and the rank among rows that repeat."""
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 11).cast("double") / float(1 << 53)
+    if repeats is None:
+        return rows.withColumn("u", u).drop("part", "row")
+    key = ("doc_id", "size", "part")
+    x = rows.join(repeats, rows["doc_id"].eqNullSafe(F.col("r_id")) & (rows["size"] == F.col("r_size")), "left").withColumn("again", F.col("r_size").isNotNull()).drop("r_id", "r_size")
+    again = x.where("again").withColumn("local", F.row_number().over(Window.partitionBy(*key).orderBy("row")))
+    before = F.sum("n").over(Window.partitionBy("doc_id", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = x.where("again").groupBy(*key).agg(F.count("*").alias("n")).select(F.col("doc_id").alias("p_id"), F.col("size").alias("p_size"), F.col("part").alias("p_part"), F.coalesce(before, F.lit(0)).alias("before"))
+    again = again.join(parts, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("size") == F.col("p_size")) & (F.col("part") == F.col("p_part"))).drop("p_id", "p_size", "p_part")
+    again = again.withColumn("rank", F.col("before") + F.col("local") - 1).drop("before", "local")
+    every = x.where(~F.col("again")).withColumn("rank", F.lit(0).cast("long")).unionByName(again)
+    spread = u + F.col("rank") * F.lit(GOLDEN)
+    return every.withColumn("u", spread - F.floor(spread)).drop("part", "row", "again", "rank")
 
 
 def targets(sizes: DataFrame, total: float = 1.5, cap: float = 2.0) -> DataFrame:
@@ -46,36 +81,42 @@ def targets(sizes: DataFrame, total: float = 1.5, cap: float = 2.0) -> DataFrame
     return t.select("source", "source_size", F.least("most", F.col("weight") * F.col("level")).alias("target"))
 
 
-def tilts(hist: DataFrame, goals: DataFrame, tolerance: float = 1e-6, rounds: int = 40) -> DataFrame:
-    """source, mean, tilt (null: at the cap, every rate is 2) by Newton's method on each source's dual."""
+def tilts(hist: DataFrame, goals: DataFrame, tolerance: float = 1e-6, rounds: int = 12, steps: int = 4) -> DataFrame:
+    """source, mean, tilt (null: at the cap, every rate is CAP) by Newton's method on each source's dual, `steps` a job."""
     many = hist.groupBy("source").agg(F.sum("docs").alias("n"))
-    state = _by_source(goals, many).select(
+    state = cut(_by_source(goals, many).select(
         "source",
         F.greatest(F.col("source_size") / F.col("n"), F.lit(1e-9)).alias("mean"),
         F.col("target"),
-        (F.col("target") >= (2 - 1e-9) * F.col("source_size")).alias("full"),
-        F.lit(0.0).alias("t"), F.lit(-64.0).alias("lo"), F.lit(64.0).alias("hi"),
-    )
-    state = cut(state)
+        (F.col("target") >= (CAP - 1e-9) * F.col("source_size")).alias("full"),
+        F.lit(0.0).alias("t"), F.lit(-1e4).alias("lo"), F.lit(1e4).alias("hi"), F.lit(0.0).alias("off"),
+    ))
     for _ in range(rounds):
-        x = _by_source(hist, state.where("not full").select("source", "mean", "t"))
-        z = F.col("size") / F.col("mean")
-        p = 1 / (1 + F.exp(-F.col("t") * z))
-        sums = x.groupBy("source").agg(F.sum(F.col("docs") * F.col("size") * 2 * p).alias("f"), F.sum(F.col("docs") * F.col("size") * z * 2 * p * (1 - p)).alias("slope"))
-        s = _by_source(state, sums, "left")
-        over = F.col("f") > F.col("target")
-        lo, hi = F.when(over, F.col("lo")).otherwise(F.col("t")), F.when(over, F.col("t")).otherwise(F.col("hi"))
-        newton = F.col("t") - (F.col("f") - F.col("target")) / F.greatest("slope", F.lit(1e-300))
-        step = F.when((newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2)
-        off = F.coalesce(F.abs(F.col("f") - F.col("target")) / F.greatest("target", F.lit(1.0)), F.lit(0.0))
-        done = F.col("full") | F.col("f").isNull() | (off <= tolerance)
-        state = cut(s.select("source", "mean", "target", "full", F.when(done, F.col("t")).otherwise(step).alias("t"), F.when(done, F.col("lo")).otherwise(lo).alias("lo"), F.when(done, F.col("hi")).otherwise(hi).alias("hi"), off.alias("off")))
+        for _ in range(steps):
+            state = _newton(hist, state, tolerance)
+        state = cut(state)
         if (state.agg(F.max("off")).first()[0] or 0.0) <= tolerance:
             break
-        state = state.drop("off")
     return state.select("source", "mean", F.when(~F.col("full"), F.col("t")).alias("tilt"))
 
 
+def _newton(hist: DataFrame, state: DataFrame, tolerance: float) -> DataFrame:
+    """One step of every source: to the tangent's zero, or to the bracket's middle where that lies outside."""
+    x = _by_source(hist, state.where("not full").select("source", "mean", "t"))
+    z = F.col("size") / F.col("mean")
+    words, raw = F.col("docs") * F.col("size"), F.exp(F.least(F.col("t") * z, F.lit(1.0)))  # beyond log 2 the rate is at the cap
+    sums = x.groupBy("source").agg(F.sum(words * F.least(raw, F.lit(CAP))).alias("f"), F.sum(F.when(raw < CAP, words * z * raw).otherwise(0.0)).alias("slope"))
+    s = _by_source(state, sums, "left")
+    over = F.col("f") > F.col("target")
+    lo, hi = F.when(over, F.col("lo")).otherwise(F.col("t")), F.when(over, F.col("t")).otherwise(F.col("hi"))
+    newton = F.col("t") - (F.col("f") - F.col("target")) / F.greatest("slope", F.lit(1e-300))
+    step = F.when((newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2)
+    off = F.coalesce(F.abs(F.col("f") - F.col("target")) / F.greatest("target", F.lit(1.0)), F.lit(0.0))
+    done = F.col("full") | F.col("f").isNull() | (off <= tolerance)
+    keep = lambda old, new: F.when(done, F.col(old)).otherwise(new).alias(old)
+    return s.select("source", "mean", "target", "full", keep("t", step), keep("lo", lo), keep("hi", hi), off.alias("off"))
+
+
 def _by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """Join on source, where null equals null."""
     r = right.withColumnRenamed("source", "__source")
@@ -88,7 +129,7 @@ def shifts(docs: DataFrame, goals: DataFrame, passes: int = 5, grid: int = 16) -
     for last in range(passes):
         x = docs.join(state.select(F.col("source").alias("__s"), "lo", "hi"), F.col("source").eqNullSafe(F.col("__s")))
         at = lambda k: F.col("lo") + (F.col("hi") - F.col("lo")) * (k / grid)
-        words = [F.sum(F.col("__size") * copies(F.col("__rate"), F.col("__u"), at(k))).alias(f"w{k}") for k in range(grid + 1)]
+        words = [F.sum(F.col("size") * copies(F.col("rate"), F.col("u"), at(k))).alias(f"w{k}") for k in range(grid + 1)]
         sums = x.groupBy("source").agg(*words)
         s = state.join(sums.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
         points = F.array(*(F.struct(F.abs(F.coalesce(F.col(f"w{k}"), F.lit(0)) - F.col("target")).alias("off"), at(k).alias("at")) for k in range(grid + 1)))
@@ -102,13 +143,13 @@ def shifts(docs: DataFrame, goals: DataFrame, passes: int = 5, grid: int = 16) -
 
 def _last_flip(docs: DataFrame, found: DataFrame) -> DataFrame:
     """source, shift and flip columns: the one document whose copy more or less comes nearest to what still lacks, if any does."""
-    x = _by_source(docs, found).withColumn("__n", copies(F.col("__rate"), F.col("__u"), F.col("shift")))
-    like = cut(x.groupBy("source", "__size", "__u").agg(F.count("*").alias("rows"), F.max("__n").alias("n"), F.max("target").alias("target")))
-    lack = cut(like.groupBy("source").agg((F.max("target") - F.sum(F.col("rows") * F.col("n") * F.col("__size"))).alias("lack")))
+    x = _by_source(docs, found).withColumn("__n", copies(F.col("rate"), F.col("u"), F.col("shift")))
+    like = cut(x.groupBy("source", "size", "u").agg(F.count("*").alias("rows"), F.max("__n").alias("n"), F.max("target").alias("target")))
+    lack = cut(like.groupBy("source").agg((F.max("target") - F.sum(F.col("rows") * F.col("n") * F.col("size"))).alias("lack")))
     by = F.when((F.col("lack") > 0) & (F.col("n") < 2), F.lit(1)).when((F.col("lack") < 0) & (F.col("n") > 0), F.lit(-1)).otherwise(0)
-    y = cut(_by_source(like, lack).withColumn("by", by)).where("by <> 0").withColumn("left", F.abs(F.col("lack") - F.col("by") * F.col("rows") * F.col("__size")))
-    key = F.col("left") + F.col("__u") * 1e-6  # __u settles ties
-    best = cut(y.where("left < abs(lack)").groupBy("source").agg(*(F.min_by(c, key).alias(f"flip_{c.strip('_')}") for c in ("__size", "__u", "by"))))
+    y = cut(_by_source(like, lack).withColumn("by", by)).where("by <> 0").withColumn("left", F.abs(F.col("lack") - F.col("by") * F.col("rows") * F.col("size")))
+    key = F.col("left") + F.col("u") * 1e-6  # __u settles ties
+    best = cut(y.where("left < abs(lack)").groupBy("source").agg(*(F.min_by(c, key).alias(f"flip_{c}") for c in ("size", "u", "by"))))
     return _by_source(found.select("source", "shift"), best, "left")
 
 
@@ -116,46 +157,54 @@ def copies(rate, u, shift):
     return F.greatest(F.lit(0), F.least(F.lit(2), F.floor(rate + u + shift))).cast("long")
 
 
-def _taken():
-    """Copies with the source's last flip."""
-    own = (F.col("flip_size") == F.col("__size")) & (F.col("flip_u") == F.col("__u"))
-    return (copies(F.col("rate"), F.col("__u"), F.col("shift")) + F.when(own, F.col("flip_by")).otherwise(0)).cast("long")
+SOLVED = ("source_size", "target", "mean", "tilt", "shift", "flip_size", "flip_u", "flip_by")
+
+
+def _rate(tilt, mean, size):
+    return F.when(tilt.isNull(), F.lit(CAP)).otherwise(F.least(F.exp(F.least(tilt * size / mean, F.lit(1.0))), F.lit(CAP)))
 
 
 def solve(base: DataFrame, total: float = 1.5) -> DataFrame:
-    """source, source_size, target, mean, tilt, shift. base: source, __size, __u of every document, written or cut."""
-    hist = cut(base.groupBy("source", F.col("__size").alias("size")).agg(F.count("*").alias("docs")))
+    """source, and `mix`, a struct of SOLVED. base: source, size, u of every document, written or cut."""
+    hist = cut(base.groupBy("source", "size").agg(F.count("*").alias("docs")))
     goals = cut(targets(hist.select("source", (F.col("size") * F.col("docs")).alias("source_size")), total))
     solved = cut(_by_source(goals, tilts(hist, goals)))
-    rated = cut(_by_source(base, solved).select("source", "__size", "__u", _rate().alias("__rate")))
-    return cut(_by_source(solved, shifts(rated, goals)))
+    rated = cut(_by_source(base, solved).select("source", "size", "u", _rate(F.col("tilt"), F.col("mean"), F.col("size")).alias("rate")))
+    return cut(_by_source(solved, shifts(rated, goals)).select("source", F.struct(*SOLVED).alias("mix")))
 
 
-def _rate():
-    return F.when(F.col("tilt").isNull(), F.lit(2.0)).otherwise(2 / (1 + F.exp(-F.col("tilt") * F.col("__size") / F.col("mean"))))
+def apply(rows: DataFrame, solved: DataFrame) -> DataFrame:
+    """rows (source, size, u, others) with source_size, target, rate, copies and taken."""
+    m = lambda c: F.col(f"mix.{c}")
+    own = (m("flip_size") == F.col("size")) & (m("flip_u") == F.col("u"))
+    x = _by_source(rows, solved).withColumn("rate", _rate(m("tilt"), m("mean"), F.col("size")))
+    x = x.withColumn("copies", (copies(F.col("rate"), F.col("u"), m("shift")) + F.when(own, m("flip_by")).otherwise(0)).cast("long"))
+    return x.withColumn("taken", F.col("size") * F.col("copies")).withColumn("source_size", m("source_size")).withColumn("target", m("target")).drop("mix", "u")
 
 
 NEW = ("size", "source_size", "target", "rate", "copies", "taken")
 
 
+def _base(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame | None]:
+    rows = cut(sized(docs.select("doc_id", "source", "text")))
+    repeats = repeats_of(rows)
+    base = with_u(rows, repeats, seed)
+    return (base if repeats is None else cut(base)), repeats
+
+
 def mix(docs: DataFrame, total: float = 1.5, seed: int = 29) -> DataFrame:
     """All columns of docs, and size, source_size, target, rate, copies, taken (these names are replaced).
 
-    docs needs doc_id, source and text. The sizes are counted once and written; texts take no part in the rounds.
+    docs needs doc_id, source and text, and should be a table whose rows keep their order when they are read again. The
+    sizes are counted once and written; texts take no part in the rounds.
     """
-    base = cut(sized(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text"), seed).select("source", "__size", "__u"))
-    return apply(docs, solve(base, total), seed)
-
-
-def apply(docs: DataFrame, solved: DataFrame, seed: int = 29) -> DataFrame:
-    keep = [c for c in docs.columns if c not in NEW]
-    x = _by_source(sized(docs.select(*keep), seed).withColumn("source", F.col("source").cast("string")), solved)
-    x = x.withColumn("rate", _rate()).withColumn("copies", _taken())
-    return x.select(*keep, F.col("__size").alias("size"), "source_size", "target", "rate", "copies", (F.col("__size") * F.col("copies")).alias("taken"))
+    keep = F.struct(*(docs[f"`{c}`"] for c in docs.columns if c not in NEW)).alias("doc")
+    base, repeats = _base(docs, seed)
+    out = apply(with_u(sized(docs, keep), repeats, seed), solve(base, total))
+    return out.select("doc.*", *NEW)
 
 
 def mix_sizes(docs: DataFrame, total: float = 1.5, seed: int = 29) -> DataFrame:
-    """As mix, of doc_id and source alone: the texts are read once."""
-    base = cut(sized(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text"), seed).drop("text"))
-    x = _by_source(base, solve(base, total)).withColumn("rate", _rate()).withColumn("copies", _taken())
-    return x.select("doc_id", "source", F.col("__size").alias("size"), "source_size", "target", "copies", (F.col("__size") * F.col("copies")).alias("taken"))
+    """doc_id, source, size, source_size, target, copies, taken: as mix, but the texts are read once."""
+    base, _ = _base(docs, seed)
+    return apply(base, solve(base, total)).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")

@@ -1,107 +1,148 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads a segment's bytes in both directions, gives every position a distribution over languages, and a
-document's distribution is the mean over all its positions. A segment is one word with its leading space; longer
-ones are cut every SEGMENT bytes. The state starts anew with each segment, so a segment's sum of distributions is a
-function of the segment alone, and a worker keeps those it has met: texts are read whole, but each distinct word is
-run once.
+The network reads running text in both directions, gives every byte a distribution over languages, and a document's
+distribution is the mean over all its bytes. Texts are read whole, in segments of CORE bytes with CONTEXT more bytes of
+the text on either side: these warm up the states and are not pooled, so no label depends on where a segment is cut,
+within a character or not, beyond CONTEXT bytes.
 
-Training is in numpy on the driver, by backpropagation through time over words of a bounded sample of labelled
-documents (`sample` documents, those of least hash). The model has a few thousand weights, whatever the corpus.
+Training is in numpy on the driver, by backpropagation through time over windows of a bounded sample of labelled
+documents: `sample` of least hash for each language, `windows` places of WINDOW characters in each, one text for each
+doc_id, however often it occurs. The model has a few thousand weights, whatever the corpus.
 
 Defined results: null texts and texts without a letter are `und`, with score 0. Repeated rows get equal results, ties
-go to the language first in code point order. Extra columns are carried along.
+go to the language first in code point order. Extra columns are carried along; lang_pred and score are replaced.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import least_hashes, ship, worker_store
+from .shared import release, ship, text_pieces
+from .textops import ranges
 
-SEGMENT = 24
-KEPT_WORDS = 400_000
+CORE, CONTEXT, WINDOW = 448, 32, 72
+#: Segments that are read together, so that a step's arrays stay in the processor's cache.
+TOGETHER = 1024
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """1 / (1 + exp(-x)), in place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class BiGRU:
-    """Two gated recurrent layers over bytes, one for each direction, and a softmax on both states."""
+    """Two gated recurrent layers over bytes, one for each direction, and a softmax on both states.
 
-    def __init__(self, langs: list[str], embed: int = 16, hidden: int = 16, seed: int = 5):
+    Weights are stacked by direction: E (257, e), W (2, 3h, e), U (2, 3h, h), c (2, 3h, 1), O (2, l, h), o (l, 1). Gates lie
+    in the order update, reset, new state; segments lie along the last axis of all arrays.
+    """
+
+    def __init__(self, langs: list[str], embed: int = 8, hidden: int = 8, seed: int = 5):
         r = np.random.default_rng(seed)
         self.langs, self.hidden = langs, hidden
-        draw = lambda *s: r.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32)
-        self.p = {"E": r.normal(0, 0.5, (257, embed)).astype(np.float32), "O": draw(2 * hidden, len(langs)), "o": np.zeros(len(langs), np.float32)}
-        for d in "fb":
-            self.p |= {f"W{d}": draw(embed, 3 * hidden), f"U{d}": draw(hidden, 3 * hidden), f"c{d}": np.zeros(3 * hidden, np.float32)}
-
-    def _direction(self, d: str, x: np.ndarray, mask: np.ndarray, keep: bool):
-        """States of one direction. x: inputs' gate sums, time first; mask: 1 where there is a byte."""
-        h_size, u = self.hidden, self.p[f"U{d}"]
-        h = np.zeros((x.shape[1], h_size), np.float32)
-        states, saved = np.empty((*x.shape[:2], h_size), np.float32), []
-        for t in range(len(x)) if d == "f" else reversed(range(len(x))):
-            zr = _sigmoid(x[t, :, : 2 * h_size] + h @ u[:, : 2 * h_size])
-            z, r = zr[:, :h_size], zr[:, h_size:]
-            n = np.tanh(x[t, :, 2 * h_size :] + (r * h) @ u[:, 2 * h_size :])
-            new = h + mask[t] * z * (n - h)
-            if keep:
-                saved.append((t, h, z, r, n))
-            h = states[t] = new
-        return states, saved
-
-    def positions(self, seg: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """Distributions at all positions. seg: bytes (256 for none), time first."""
-        states, saved = [], {}
-        for d in "fb":
-            table = self.p["E"] @ self.p[f"W{d}"] + self.p[f"c{d}"]
-            s, saved[d] = self._direction(d, table[seg], mask, keep)
-            states.append(s)
-        both = np.concatenate(states, 2)
-        logit = both @ self.p["O"] + self.p["o"]
-        e = np.exp(logit - logit.max(2, keepdims=True))
-        return e / e.sum(2, keepdims=True), both, saved
-
-    def gradients(self, seg: np.ndarray, mask: np.ndarray, label: np.ndarray, weight: np.ndarray):
-        prob, both, saved = self.positions(seg, mask, True)
+        draw = lambda *s: r.normal(0, 1 / np.sqrt(s[-1]), s).astype(np.float32)
+        self.p = {
+            "E": r.normal(0, 0.5, (257, embed)).astype(np.float32), "W": draw(2, 3 * hidden, embed), "U": draw(2, 3 * hidden, hidden),
+            "c": np.zeros((2, 3 * hidden, 1), np.float32), "O": draw(2, len(langs), hidden), "o": np.zeros((len(langs), 1), np.float32),
+        }
+
+    def _read(self, seg: np.ndarray, saved: list | None = None) -> np.ndarray:
+        """Both directions' parts of the scores (time, direction, language, segment), each direction in its own order.
+
+        seg: (time, direction, segment) bytes. What follows a segment's end is padding: it comes after all its positions in
+        both directions and changes none. saved: gets (state before, gates, new state, state) of each step.
+        """
+        k, u = self.hidden, self.p["U"]
+        inputs = np.ascontiguousarray((self.p["W"] @ self.p["E"].T + self.p["c"]).transpose(0, 2, 1))  # gate sums of each byte
+        gates, new_u = np.ascontiguousarray(u[:, : 2 * k]), np.ascontiguousarray(u[:, 2 * k :])
+        many = seg.shape[2]
+        h, out = np.zeros((2, k, many), inputs.dtype), np.empty((len(seg), 2, len(self.langs), many), inputs.dtype)
+        row, x = np.empty((many, 3 * k), inputs.dtype), np.empty((2, 3 * k, many), inputs.dtype)
+        for t in range(len(seg)):
+            for d in (0, 1):
+                np.take(inputs[d], seg[t, d], axis=0, out=row, mode="clip")
+                x[d] = row.T
+            zr = gates @ h
+            zr += x[:, : 2 * k]
+            _sigmoid(zr)
+            z, r = zr[:, :k], zr[:, k:]
+            n = new_u @ (r * h)
+            n += x[:, 2 * k :]
+            n *= 2  # tanh(n) = 2 / (1 + exp(-2 n)) - 1
+            _sigmoid(n)
+            n *= 2
+            n -= 1
+            new = n - h
+            new *= z
+            new += h
+            if saved is not None:
+                saved.append((h, z, r, n, new))
+            h = new
+            np.matmul(self.p["O"], h, out=out[t])
+        return out
+
+    def positions(self, raw: np.ndarray, size: np.ndarray, saved: list | None = None):
+        """Distributions (time, language, segment) at all positions. raw: (time, segment) bytes, of size[k] in segment k."""
+        seg, back = both_ways(raw, size)
+        with np.errstate(over="ignore"):  # 1 / (1 + exp(large)) is 0, as it should be
+            parts = self._read(seg, saved)
+        logit = parts[::-1, 1].copy() if back is None else np.take_along_axis(parts[:, 1], back[:, None, :], 0)
+        logit += parts[:, 0]
+        logit += self.p["o"]
+        logit -= logit.max(1, keepdims=True)
+        np.exp(logit, out=logit)
+        logit /= logit.sum(1, keepdims=True)
+        return logit, seg, back
+
+    def gradients(self, raw: np.ndarray, size: np.ndarray, label: np.ndarray, weight: np.ndarray):
+        """Loss and its gradients, by backpropagation through time."""
+        saved: list = []
+        prob, seg, back = self.positions(raw, size, saved)
+        inside = np.arange(len(raw))[:, None] < size[None, :]
+        scale = (inside * weight[None, :] / inside.sum())[:, None, :].astype(prob.dtype)
+        every = np.arange(len(label))
+        loss = float(-(np.log(prob[:, label, every] + 1e-9) * scale[:, 0]).sum())
+        d_logit = prob.copy()
+        d_logit[:, label, every] -= 1
+        d_logit *= scale
+        if back is None:
+            reverse = d_logit[::-1]
+        else:  # of each position at the step at which the second direction reads it
+            reverse = np.zeros_like(d_logit)
+            np.put_along_axis(reverse, back[:, None, :], d_logit, 0)
+        d_out = np.stack([d_logit, reverse], 1)
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
-        hot = np.zeros_like(prob)
-        hot[:, np.arange(len(label)), label] = 1
-        scale = mask * weight[None, :, None] / mask.sum()
-        d_logit = (prob - hot) * scale
-        loss = float(-(np.log(np.take_along_axis(prob, label[None, :, None].repeat(len(seg), 0), 2) + 1e-9) * scale).sum())
-        flat = d_logit.reshape(-1, d_logit.shape[2])
-        g["O"], g["o"] = both.reshape(-1, both.shape[2]).T @ flat, flat.sum(0)
-        d_both = d_logit @ self.p["O"].T
-        h_size = self.hidden
-        emb = self.p["E"][seg]
-        for k, d in enumerate("fb"):
-            u, d_states = self.p[f"U{d}"], d_both[:, :, k * h_size : (k + 1) * h_size]
-            d_h = np.zeros_like(d_states[0])
-            for t, h, z, r, n in reversed(saved[d]):
-                d_new = d_h + d_states[t]
-                m = mask[t]
-                d_z, d_n = d_new * m * (n - h) * z * (1 - z), d_new * m * z * (1 - n * n)
-                d_rh = d_n @ u[:, 2 * h_size :].T
-                d_r = d_rh * h * r * (1 - r)
-                d_zr = np.concatenate([d_z, d_r], 1)
-                d_h = d_new * (1 - m * z) + d_rh * r + d_zr @ u[:, : 2 * h_size].T
-                g[f"U{d}"][:, : 2 * h_size] += h.T @ d_zr
-                g[f"U{d}"][:, 2 * h_size :] += (r * h).T @ d_n
-                d_x = np.concatenate([d_zr, d_n], 1)
-                g[f"W{d}"] += emb[t].T @ d_x
-                g[f"c{d}"] += d_x.sum(0)
-                np.add.at(g["E"], seg[t], d_x @ self.p[f"W{d}"].T)
+        g["o"] = d_logit.sum((0, 2))[:, None]
+        k, u = self.hidden, self.p["U"]
+        gates_t, new_t, out_t = u[:, : 2 * k].transpose(0, 2, 1), u[:, 2 * k :].transpose(0, 2, 1), self.p["O"].transpose(0, 2, 1)
+        d_h = np.zeros_like(saved[0][0])
+        d_xs = np.empty((2, len(seg), seg.shape[2], 3 * k), d_h.dtype)
+        for t in reversed(range(len(seg))):
+            h, z, r, n, new = saved[t]
+            g["O"] += d_out[t] @ new.transpose(0, 2, 1)
+            d_new = d_h + out_t @ d_out[t]
+            d_z, d_n = d_new * (n - h) * z * (1 - z), d_new * z * (1 - n * n)
+            d_rh = new_t @ d_n
+            d_zr = np.concatenate([d_z, d_rh * h * r * (1 - r)], 1)
+            d_h = d_new * (1 - z) + d_rh * r + gates_t @ d_zr
+            g["U"][:, : 2 * k] += d_zr @ h.transpose(0, 2, 1)
+            g["U"][:, 2 * k :] += d_n @ (r * h).transpose(0, 2, 1)
+            d_xs[:, t, :, : 2 * k], d_xs[:, t, :, 2 * k :] = d_zr.transpose(0, 2, 1), d_n.transpose(0, 2, 1)
+        for d in (0, 1):  # by byte: what its occurrences add up to
+            read, flat = seg[:, d].ravel(), d_xs[d].reshape(-1, 3 * k)
+            by = np.stack([np.bincount(read, flat[:, i], len(g["E"])) for i in range(3 * k)]).astype(d_h.dtype)
+            g["W"][d], g["c"][d, :, 0] = by @ self.p["E"], by.sum(1)
+            g["E"] += by.T @ self.p["W"][d]
         return loss, g
 
-    def train(self, segments: list[bytes], labels: np.ndarray, steps: int = 500, batch: int = 384, rate: float = 0.02, seed: int = 7) -> float:
+    def train(self, segments: list[bytes], labels: np.ndarray, steps: int = 300, batch: int = 96, rate: float = 0.02, seed: int = 7) -> float:
         """Adam over random batches in which every language weighs the same. Returns the last losses' mean."""
         r = np.random.default_rng(seed)
         weight = (len(labels) / np.maximum(np.bincount(labels, minlength=len(self.langs)), 1) / len(self.langs)).astype(np.float32)
@@ -109,8 +150,7 @@ class BiGRU:
         losses = []
         for step in range(1, steps + 1):
             at = r.integers(0, len(segments), batch)
-            seg, mask = padded([segments[i] for i in at])
-            loss, g = self.gradients(seg, mask, labels[at], weight[labels[at]])
+            loss, g = self.gradients(*padded([segments[i] for i in at]), labels[at], weight[labels[at]])
             norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
             lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             for k in self.p:
@@ -121,86 +161,99 @@ class BiGRU:
             losses.append(loss)
         return float(np.mean(losses[-50:]))
 
-    def sums(self, segments: list[bytes], batch: int = 4096) -> np.ndarray:
-        """Sum of the distributions over each segment's positions."""
-        out = np.zeros((len(segments), len(self.langs)), np.float32)
-        order = np.argsort(np.fromiter(map(len, segments), np.int64, len(segments)), kind="stable")
-        for at in range(0, len(order), batch):
-            part = order[at : at + batch]
-            seg, mask = padded([segments[i] for i in part])
-            out[part] = (self.positions(seg, mask)[0] * mask).sum(0)
-        return out
+    def means(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """Mean distribution over all bytes of each text; zeros where there are none. Texts lie end to end in buf."""
+        size = np.diff(offs)
+        many = -(-size // CORE)
+        owner = np.repeat(np.arange(len(size)), many)
+        core = offs[:-1][owner] + CORE * ranges(np.zeros(len(size), np.int64), many)
+        begin, end = np.maximum(core - CONTEXT, offs[owner]), np.minimum(core + CORE + CONTEXT, offs[owner + 1])
+        out = np.zeros((len(size), len(self.langs)))
+        order = np.argsort(end - begin, kind="stable")
+        steps = np.arange(CORE + 2 * CONTEXT)[:, None]
+        at = 0
+        while at < len(order):
+            part = order[at : at + TOGETHER]
+            part = part[end[part] - begin[part] <= 1.3 * (end[part[0]] - begin[part[0]]) + 2]  # little padding
+            at += len(part)
+            sizes = end[part] - begin[part]
+            place = begin[part] + steps[: int(sizes.max())]
+            prob = self.positions(buf[np.minimum(place, len(buf) - 1)], sizes)[0]
+            pooled = (place >= core[part]) & (place < np.minimum(core[part] + CORE, end[part]))
+            prob *= pooled[:, None, :]
+            np.add.at(out, owner[part], prob.sum(0).T)
+        return out / np.maximum(size, 1)[:, None]
+
+
+def both_ways(raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Segments in both directions, (time, direction, segment), with 256 for padding at the end; and, for each position, the
+    step at which the second direction reads it (None: all are of one size, so counted from the end)."""
+    seg = np.empty((len(raw), 2, raw.shape[1]), np.int64)
+    seg[:, 0] = raw
+    if (size == len(raw)).all():
+        seg[:, 1] = raw[::-1]
+        return seg, None
+    t = np.arange(len(raw))[:, None]
+    back = size[None, :] - 1 - t
+    inside = back >= 0
+    back = np.where(inside, back, t)
+    seg[:, 0][~inside] = 256
+    seg[:, 1] = np.take_along_axis(seg[:, 0], back, 0)
+    return seg, back
 
 
 def padded(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(time, segment) bytes, and the segments' sizes."""
     size = np.fromiter(map(len, segments), np.int64, len(segments))
     width = int(size.max(initial=1))
     inside = np.arange(width)[None, :] < size[:, None]
-    seg = np.full((len(segments), width), 256, np.int64)
-    seg[inside] = np.frombuffer(b"".join(segments), np.uint8)
-    return np.ascontiguousarray(seg.T), np.ascontiguousarray(inside.T[:, :, None].astype(np.float32))
-
-
-def segments_of(word: str) -> list[bytes]:
-    raw = b" " + word.encode("utf-8", "replace")
-    return [raw[k : k + SEGMENT] for k in range(0, len(raw), SEGMENT)]
-
-
-class Labeller:
-    """Pools documents; one for each worker and model."""
-
-    def __init__(self, model: BiGRU):
-        self.model, self.index, self.table, self.size = model, {}, np.zeros((1024, len(model.langs)), np.float32), np.zeros(1024, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.index) + len(words) > KEPT_WORDS and self.index:
-            self.index.clear()
-        base = len(self.index)
-        while len(self.table) < base + len(words):
-            self.table, self.size = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.size, np.zeros_like(self.size)])
-        parts = [segments_of(w) for w in words]
-        sums = self.model.sums([x for p in parts for x in p])
-        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        self.table[base : base + len(words)] = 0
-        np.add.at(self.table, base + owner, sums)
-        self.size[base : base + len(words)] = [sum(map(len, p)) for p in parts]
-        self.index.update(zip(words, range(base, base + len(words)), strict=True))
-
-    def label(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        split = [(x or "").split() if any(map(str.isalpha, x or "")) else [] for x in texts]
-        new = list(dict.fromkeys(w for x in split for w in x if w not in self.index))
-        if new:
-            if len(self.index) + len(new) > KEPT_WORDS:
-                self.index.clear()
-                new = list({w for x in split for w in x})
-            self._learn(new)
-        langs, scores = [], []
-        for x in split:
-            if not x:
-                langs.append("und")
-                scores.append(0.0)
-                continue
-            at = np.fromiter(map(self.index.__getitem__, x), np.int64, len(x))
-            mean = self.table[at].sum(0, dtype=np.float64) / self.size[at].sum()
-            best = int(mean.argmax())
-            langs.append(self.model.langs[best])
-            scores.append(float(min(1.0, max(0.0, mean[best]))))
-        return langs, scores
-
-
-def fit(labelled: DataFrame, sample: int = 2000, words: int = 200_000, steps: int = 500, seed: int = 5) -> BiGRU:
-    """A model of labelled (doc_id, text, lang) rows: `sample` documents of least hash, `words` of their words."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = least_hashes(rows.select("doc_id"), sample, seed)
-    got = sorted((r[0], r[1], r[2]) for r in rows.where(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang").collect() if r[0] is not None) if ids else []
-    langs = sorted({x[2] for x in got}) or ["und"]
+    raw = np.zeros((len(segments), width), np.uint8)
+    raw[inside] = np.frombuffer(b"".join(segments), np.uint8)
+    return np.ascontiguousarray(raw.T), size
+
+
+def label(model: BiGRU, column) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text of an Arrow string array."""
+    langs, scores = [], [np.zeros(0)]
+    for i, j, buf, offs in text_pieces(column, 1 << 22):
+        mean = model.means(buf, offs)
+        lettered = np.array([x is not None and any(map(str.isalpha, x)) for x in column.slice(i, j - i).to_pylist()], bool)
+        best = mean.argmax(1)
+        langs += [model.langs[k] if ok else "und" for k, ok in zip(best.tolist(), lettered.tolist(), strict=True)]
+        scores.append(np.where(lettered, np.clip(mean[np.arange(len(best)), best], 0.0, 1.0), 0.0))
+    return langs, np.concatenate(scores)
+
+
+def training_windows(labelled: DataFrame, sample: int, windows: int, seed: int) -> list[tuple[str, str]]:
+    """(lang, window) of `sample` documents of least hash for each language. Counts come first, and rows whose hash is above
+    some times the share that is wanted are left out before anything is sorted, so about as many go on as are wanted."""
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    many = {r[0]: r[1] for r in rows.groupBy("lang").agg(F.approx_count_distinct("doc_id")).collect()}  # one row a language
+    if not many:
+        return []
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11)
+    limit = F.create_map(*(F.lit(x) for k, n in many.items() for x in (k, int(min(1.0, 4 * sample / max(1, n)) * (1 << 53)))))
+    near = rows.withColumn("h", h).where(F.col("h") <= limit[F.col("lang")])
+    at = lambda k: F.pmod(F.xxhash64(F.lit(seed + 1 + k), "doc_id"), F.greatest(F.length("text") - WINDOW + 1, F.lit(1))) + 1
+    cut = F.array_distinct(F.array(*(F.substring("text", at(k).cast("int"), F.lit(WINDOW)) for k in range(windows))))
+    one = near.select("lang", "doc_id", "h", cut.alias("cut")).groupBy("lang", "h", "doc_id").agg(F.min("cut").alias("cut"))
+    ranked = one.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= sample)
+    got = ranked.select("lang", "h", F.explode("cut").alias("window")).collect()  # languages x sample x windows x WINDOW characters at most
+    return sorted((r[0], r[2]) for r in got if r[2])
+
+
+def fit(labelled: DataFrame, sample: int = 500, windows: int = 8, steps: int = 300, seed: int = 5) -> BiGRU:
+    """A model of labelled (doc_id, text, lang) rows."""
+    got = training_windows(labelled, sample, windows, seed)
+    langs = sorted({x[0] for x in got}) or ["und"]
     model = BiGRU(langs, seed=seed)
-    pairs = [(s, langs.index(lang)) for _, text, lang in got for w in text.split() for s in segments_of(w)]
-    if pairs:
+    if got:
         r = np.random.default_rng(seed)
-        at = r.permutation(len(pairs))[:words]
-        shout = r.random(len(at)) < 0.1  # capitals are rare in the sample, but whole texts are written in them
-        model.train([pairs[i][0].upper() if up else pairs[i][0] for i, up in zip(at, shout, strict=True)], np.array([pairs[i][1] for i in at]), steps=steps)
+        shout = r.random(len(got)) < 0.1  # capitals are rare in the sample, but whole texts are written in them
+        short = r.random(len(got)) < 0.3  # and so are texts of a word or two
+        size = r.integers(4, 25, len(got))
+        texts = [(w.upper() if up else w)[: k if few else None] for (_, w), up, few, k in zip(got, shout, short, size.tolist(), strict=True)]
+        model.train([x.encode("utf-8", "replace") for x in texts], np.array([langs.index(x[0]) for x in got]), steps=steps)
     return model
 
 
@@ -209,24 +262,13 @@ def identify(docs: DataFrame, model: BiGRU, with_text: bool = False) -> DataFram
     ship(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("lang_pred", "score") and (with_text or c != "text")]
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.hidden, model.p))
-    key = f"langid:{hash(tuple(float(x.sum()) for x in model.p.values()))}"
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        def make():
-            langs, hidden, p = sent.value
-            m = BiGRU(langs, hidden=hidden)
-            m.p = p
-            return Labeller(m)
-
-        labeller = worker_store(key, make)
+        release()
         for b in batches:
-            langs, scores = [], []
-            for at in range(0, b.num_rows, 512):
-                x, y = labeller.label(b.column("text").slice(at, 512).to_pylist())
-                langs += x
-                scores += y
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            langs, scores = label(sent.value, b.column("text"))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 

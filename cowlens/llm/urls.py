@@ -1,16 +1,19 @@
 """URL filter: rules first, then host word segmentation and multinomial naive Bayes.
 
-Concatenated names in hosts are split into words by Viterbi over a unigram model, whose words are those of the pages'
-own text (letters only, up to `max_word` of them). Naive Bayes scores the words of host and path. It learns from
-the pages that a rule decides, so what a rule says of some hosts carries over to their like; both classes have equal
+Concatenated names in hosts and paths, of any length, are split into words by Viterbi over a unigram model, whose words
+are those of the pages' own text (letters only). A concatenation that occurs as a word now and then is rarer than the
+product of its parts, so it is split all the same. Naive Bayes scores the words of host and path. It learns from the
+pages that a rule decides, so what a rule says of some hosts carries over to their like; both classes have equal
 priors, so a url without words is allowed.
 
 Counts of words and of tokens cover all pages; they are combined before the shuffle, so a host with a third of all
-pages costs a row a task. The unigram model keeps the most frequent words, `vocabulary` at most (of ties all or none), and
-naive Bayes hashes its tokens into 2**TOKEN_BITS cells, so both have a fixed size, which is sent to the executors.
+pages costs a row a task. The unigram model has a size: the `vocabulary` most frequent words (of the least frequent
+ones that are still in, those of least hash) of up to 63 letters, which is what a host's name can hold; naive Bayes
+hashes its tokens into 2**TOKEN_BITS cells. Both are sent to the executors.
 
 Defined results: null urls and urls without `://` have empty host and path, fit no rule and have no tokens: allow.
-Null html gives no words. Repeated rows get equal results; extra columns are carried along.
+Null html gives no words. Repeated rows get equal results; extra columns are carried along, but for html and those of the
+result's names, which are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from pyspark.sql import types as T
 from .shared import cut, ship, worker_store
 
 TOKEN_BITS = 16
+#: Letters of a host's name between its dots, at most.
+MOST_LETTERS = 63
 UPPER = {c: c + 32 for c in range(65, 91)}
 LETTERS, NAMES = re.compile("[a-z]+"), re.compile(r"[^\W\d_]+")
 
@@ -72,14 +77,17 @@ class Segmenter:
     def __init__(self, counts: dict[str, int]):
         total = sum(counts.values()) or 1
         self.logp = {w: math.log(n / total) for w, n in counts.items()}
-        self.most = max(map(len, counts), default=1)
+        self.lengths = sorted({*map(len, counts)})
         self.unknown = math.log(1 / (10 * total))
 
     def split(self, name: str) -> list[str]:
         best, back = [0.0], [0]
         for i in range(1, len(name) + 1):
             top, at = best[i - 1] + self.unknown, i - 1
-            for j in range(max(0, i - self.most), i):
+            for long in self.lengths:
+                j = i - long
+                if j < 0:
+                    break
                 p = self.logp.get(name[j:i])
                 if p is not None and best[j] + p > top:
                     top, at = best[j] + p, j
@@ -97,9 +105,9 @@ def tokens(host: str, path: str, segmenter: Segmenter, seen: dict[str, list[str]
     out = seen.get(host)
     if out is None:
         out = [f"h:{w}" for name in NAMES.findall(host) for w in segmenter.split(name)]
-        if len(seen) < 100_000:
+        if len(seen) < 50_000 and len(host) <= 255:
             seen[host] = out
-    return out + [f"p:{w}" for name in NAMES.findall(path.lower()) for w in (segmenter.split(name) if len(name) <= 64 else [name])]
+    return out + [f"p:{w}" for name in NAMES.findall(path.lower()) for w in segmenter.split(name)]
 
 
 def cell(token: str) -> int:
@@ -110,7 +118,7 @@ def cell(token: str) -> int:
     return (h ^ (h >> 32)) & ((1 << TOKEN_BITS) - 1)
 
 
-def word_counts(pages: DataFrame, max_word: int, vocabulary: int) -> dict[str, int]:
+def word_counts(pages: DataFrame, vocabulary: int, seed: int = 13) -> dict[str, int]:
     """The most frequent words of the pages' text, tags left out."""
     tag = re.compile(r"<[^>]*>")
 
@@ -119,7 +127,7 @@ def word_counts(pages: DataFrame, max_word: int, vocabulary: int) -> dict[str, i
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 for html in b.column("html").slice(at, 256).to_pylist():
-                    total.update(w for w in LETTERS.findall(tag.sub(" ", html or "").lower()) if len(w) <= max_word)
+                    total.update(w for w in LETTERS.findall(tag.sub(" ", html or "").lower()) if len(w) <= MOST_LETTERS)
                 if len(total) > 200_000:  # pass on what there is; sums are taken later
                     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
                     total.clear()
@@ -127,13 +135,15 @@ def word_counts(pages: DataFrame, max_word: int, vocabulary: int) -> dict[str, i
 
     sums = pages.select(F.col("html").cast("string").alias("html")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     sums = cut(sums)
-    least, words = None, 0  # how often a word must occur, from how many words occur how often
-    for r in sums.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
-        words += r["words"]
-        if words > vocabulary:
-            break
+    least, before, share = 0, 0, 1.0  # how often a word must occur, from how many words occur how often
+    for r in sums.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():  # ends after `vocabulary` rows
         least = r["n"]
-    return {r["word"]: r["n"] for r in sums.where(F.col("n") >= least).collect()} if least else {}
+        if before + r["words"] >= vocabulary:
+            share = (vocabulary - before) / r["words"]
+            break
+        before += r["words"]
+    kept = sums.where((F.col("n") > least) | ((F.col("n") == least) & (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "word"), 11) <= int(share * (1 << 53)))))
+    return {r["word"]: r["n"] for r in kept.collect()}
 
 
 def learn(pages: DataFrame, rules: Rules, segmenter) -> np.ndarray:
@@ -157,14 +167,14 @@ def learn(pages: DataFrame, rules: Rules, segmenter) -> np.ndarray:
     return logs[1] - logs[0]
 
 
-def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], max_word: int = 10, vocabulary: int = 50_000) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], vocabulary: int = 200_000) -> DataFrame:
     """Columns of pages but html; host, path, rule, verdict, block_log_odds, host_words."""
     spark = pages.sparkSession
     ship(spark)
     new = ["host", "path", "rule", "verdict", "block_log_odds", "host_words"]
     keep = [c for c in pages.columns if c not in (*new, "html")]
     table = Rules(rules)
-    segmenter = spark.sparkContext.broadcast(Segmenter(word_counts(pages, max_word, vocabulary)))
+    segmenter = spark.sparkContext.broadcast(Segmenter(word_counts(pages, vocabulary)))
     odds = spark.sparkContext.broadcast(learn(pages, table, segmenter))
     schema = T.StructType([pages.schema[c] for c in keep])
     for name, kind in zip(new, (*[T.StringType()] * 4, T.DoubleType(), T.ArrayType(T.StringType())), strict=True):
@@ -181,11 +191,14 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], max_word: int =
                 found = tokens(host, path, segmenter.value, seen)
                 score = 0.0
                 for t in found:
-                    if t not in cells:
-                        if len(cells) > 200_000:
-                            cells.clear()
-                        cells[t] = cell(t)
-                    score += float(odds.value[cells[t]])
+                    at = cells.get(t)
+                    if at is None:
+                        at = cell(t)
+                        if len(t) <= 64:
+                            if len(cells) > 200_000:
+                                cells.clear()
+                            cells[t] = at
+                    score += float(odds.value[at])
                 rows.append((host, path, rule, verdict or ("block" if score > 0 else "allow"), score, [t[2:] for t in found if t[0] == "h"]))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.string()))

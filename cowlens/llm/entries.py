@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracles import ORACLES
+
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
 
@@ -92,4 +94,3 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_language_id, op2_substring_dedup, op3_jaccard_join, op4_url_filter, op5_packing, op6_quality_classifier, op7_vector_dedup, op8_quality_rules, op9_mixing, op10_token_counts)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES: dict[str, str] = {}

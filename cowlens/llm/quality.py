@@ -127,19 +127,36 @@ class FactorisationMachine:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, seed: int = 11) -> FactorisationMachine:
-    """A model of docs (doc_id, text) and labels (doc_id, label): `sample` labelled ids of least hash, for 0 and for 1."""
+    """A model of docs (doc_id, text) and labels (doc_id, label): `sample` labelled ids of least hash, for 0 and for 1.
+
+    Texts become features where they are, one text for each id; the driver gets at most 2**BITS cells of each.
+    """
+    ship(docs.sparkSession)
     model, wanted = FactorisationMachine(seed), {}
     rows = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     for label in (0, 1):
         own = rows.where(F.col("label") == label).select("doc_id").distinct()
         wanted |= dict.fromkeys(least_hashes(own, sample, seed), label)
-    got = sorted((r[0], r[1] or "") for r in docs.where(F.col("doc_id").isin(list(wanted))).select("doc_id", "text").collect()) if wanted else []
+    if not wanted:
+        return model
+
+    def describe(batches):
+        release()
+        for b in batches:
+            for i, cell, weight, begin, stats in features(b.column("text")):
+                n = len(stats)
+                cut = lambda x, kind: pa.array([x[begin[k] : begin[k + 1]].astype(kind).tobytes() for k in range(n)], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, n), cut(cell, "<u2"), cut(weight, "<f4"), pa.array([x.tobytes() for x in stats], pa.binary())], names=["doc_id", "cells", "weights", "stats"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    some = docs.where(F.col("doc_id").isin(list(wanted))).select("doc_id", F.col("text").cast("string").alias("text"))
+    found = some.mapInArrow(describe, f"doc_id {id_type}, cells binary, weights binary, stats binary")
+    got = sorted(found.groupBy("doc_id").agg(F.min(F.struct("cells", "weights", "stats")).alias("x")).collect())
     if not got:
         return model
-    examples = []
-    for _, cell, weight, begin, stats in features(pa.array([x[1] for x in got], pa.string())):
-        examples += [(cell[begin[k] : begin[k + 1]], weight[begin[k] : begin[k + 1]], stats[k]) for k in range(len(stats))]
-    model.train(examples, np.array([wanted[x[0]] for x in got], np.float64))
+    read = lambda x, kind: np.frombuffer(x, kind).astype(np.int64 if kind == "<u2" else np.float64)
+    examples = [(read(r["x"]["cells"], "<u2"), read(r["x"]["weights"], "<f4"), read(r["x"]["stats"], "<f8")) for r in got]
+    model.train(examples, np.array([wanted[r["doc_id"]] for r in got], np.float64))
     return model
 
 

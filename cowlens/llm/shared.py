@@ -1,21 +1,21 @@
-"""Plumbing that the operators share: shipping the package, sizes, checkpoints, Arrow helpers."""
+"""Plumbing that the operators share: sizes, checkpoints, what workers keep, Arrow helpers."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import io
 import os
+import re
 import sys
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship  # noqa: F401  for the operators
+
 #: Words are runs of anything but these bytes: space, and tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -24,23 +24,6 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 PART_BYTES = 16 << 20
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once, so that workers can import it wherever they start."""
-    sc = spark.sparkContext
-    if getattr(sc, "_cowlens_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    blob = io.BytesIO()
-    with zipfile.ZipFile(blob, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, Path(top.name) / p.relative_to(top))
-    folder = tempfile.mkdtemp(prefix="cowlens-")
-    path = os.path.join(folder, "cowlens_src.zip")
-    Path(path).write_bytes(blob.getvalue())
-    sc.addPyFile(path)
-    sc._cowlens_shipped = True
-
-
 def input_bytes(df: DataFrame) -> int:
     """Size of the input by Catalyst's statistics: file sizes, so no scan."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -54,10 +37,13 @@ def partitions(df: DataFrame, part_bytes: int = PART_BYTES) -> int:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where that is unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset, as in tests, a folder of our own, if driver
+    and executors are one process; an error on a cluster, whose machines would not see each other's files."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="cowlens-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -7,11 +7,13 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from cowlens.llm import jaccard, mixing, packing, rules, substring, tokens
 from cowlens.llm.components import components
+from cowlens.llm.shared import text_pieces
 from cowlens.llm.textops import Words, shingles
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,6 +76,35 @@ def test_jaccard_large_group_of_near_copies(spark):
     assert got == expected_components(rows)
 
 
+def test_words_of_regular_patterns_are_told_apart(spark):
+    """Thue-Morse words and their complements agree under any polynomial of an odd base modulo a power of two."""
+    for size in (2048,):
+        x = "".join("ab"[i.bit_count() % 2] for i in range(size))
+        y = "".join("ba"[i.bit_count() % 2] for i in range(size))
+        same = [f"w{k}" for k in range(34)]
+        data = spark.createDataFrame([(1, " ".join([*same, x])), (2, " ".join([*same, y])), (3, x), (4, y), (5, x)], "doc_id long, text string")
+        assert {r.doc_id: r.n_removed for r in substring.remove_repeated(data).collect()} == dict.fromkeys(range(1, 6), 0)
+        assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(data).collect() if r.doc_id > 2} == {3: 3, 4: 4, 5: 3}
+
+
+def test_word_hashes_are_those_of_the_bytes():
+    r = np.random.default_rng(4)
+    texts = [" ".join("".join("abAB\x00é"[c] for c in r.integers(0, 6, n)) for n in r.integers(1, 40, 60)) + " " + "y" * int(r.integers(250, 262)) for _ in range(20)]
+    found = [{}, {}]
+    for lower in (False, True):
+        for i, j, buf, offs in text_pieces(pa.array(texts)):
+            w = Words(buf, offs, lower)
+            names = [x for t in texts[i:j] for x in split(t.translate({65: 97, 66: 98}) if lower else t)]
+            for stream in (0, 1):
+                for name, h in zip(names, w.hashes(stream).tolist(), strict=True):
+                    assert found[stream].setdefault(name, h) == h
+            at = w.window_starts(35)
+            keys = [(" ".join(names[k : k + 35]), *h) for k, *h in zip(at, w.windows(35, 0)[at].tolist(), w.windows(35, 1)[at].tolist())]
+            assert len(set(keys)) == len({k[0] for k in keys}) == len({k[1] for k in keys}) == len({k[2] for k in keys})
+    for f in found:
+        assert len(set(f.values())) == len(f) > 400
+
+
 def test_shingles_are_functions_of_the_words():
     def one(t):
         raw = t.encode()
@@ -140,11 +171,38 @@ def test_token_counts(docs, rows):
     got = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit, r.lang) for r in tokens.count_tokens(docs, path, 100).collect())
     n = {t: len(tok.encode(t or "", add_special_tokens=False).ids) for t in {r[1] for r in rows}}
     assert got == Counter((r[0], len((r[1] or "").encode()), n[r[1]], n[r[1]] > 100, r[2]) for r in rows)
-    assert tokens.Counter(path).count(ODD) == [len(tok.encode(t, add_special_tokens=False).ids) for t in ODD]
+    odd = [*ODD, " ".join(ODD), *ODD]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in odd]
+    for bits in (3, 20):  # a table that overflows within a text, and one that doesn't
+        assert tokens.Counter(path, bits).count(odd).tolist() == [len(x) for x in want]
+        encoder, got = packing.Encoder(path, bits), []
+        for _ in range(2):
+            for i, j, buf, offs in text_pieces(pa.array(odd)):
+                ids, begin = encoder.encode(buf, offs, 1)
+                got += [ids[begin[k] : begin[k + 1]].tolist() for k in range(j - i)]
+        assert got == 2 * [[*x, 1] for x in want]
     with pytest.raises(ValueError, match="n_tokens"):
         tokens.count_tokens(docs.withColumn("n_tokens", F.lit(1)), path)
 
 
+def test_long_pieces():
+    import random
+
+    path, tok = library()
+    merger, r = tokens.Merger(path), random.Random(1)
+    for letters in ("a", "ab", "etaoinshrdlu", "abcdefghijklmnopqrstuvwxyz"):
+        x = "".join(r.choice(letters) for _ in range(20_000))
+        assert merger.surviving([x.encode(), b" the", x[:1500].encode()]).tolist() == [len(tok.encode(t).ids) for t in (x, " the", x[:1500])]
+
+
+def test_packing_spreads_repeated_rows_and_replaces_its_columns(spark):
+    rows = spark.createDataFrame([(None, 0, 5, 5, "z", 1, 2)] * 4000, "doc_id long, start long, length long, doc_tokens long, offset string, sequence_id int, `group` int")
+    out = packing.pack(rows, 64, group_size=500)
+    groups = Counter(r.sequence_id % 8 for r in out.collect())
+    assert out.columns == ["doc_id", "start", "length", "doc_tokens", "group", "sequence_id", "offset"]
+    assert len(groups) == 8 and max(groups.values()) < 700
+
+
 def test_packing(docs, rows):
     path, tok = library()
     size = 64
@@ -205,6 +263,36 @@ def test_mixing(docs, rows):
         assert abs(taken[s] - goal[s]) <= max(len(split(r[1])) for r in rows if r[3] == s)
 
 
+def test_mixing_repeated_rows_and_clashing_columns(spark):
+    """A row that fills its source, and columns of the names that the operator uses itself."""
+    text = "a b c d"
+    rows = [(1, text, "x", 1.0)] * 1000 + [(None, text, "x", 1.0)] * 300 + [(k, text + " e" * (k % 7), "a", 2.0) for k in range(10, 700)] + [(k, text, None, 0.0) for k in range(5000, 5100)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string, mean double").repartition(5)
+    names = ["shift", "tilt", "flip_by", "flip_u", "__size", "__u", "doc", "mix", "u", "part", "row", "local", "n"]
+    docs = plain.select("*", *(F.lit(7).alias(c) for c in names), F.lit("old").alias("size"))
+    out = mixing.mix(docs).collect()
+    assert [*out[0].asDict()] == ["doc_id", "text", "source", "mean", *names, *mixing.NEW] and len(out) == len(rows) and all(r.shift == 7 for r in out)
+    for source in ("x", "a", None):
+        own = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 10 and all(r.taken == r.copies * r.size <= 2 * r.size for r in own)
+        assert sum(r.size for r in own) == own[0].source_size
+    assert len({r.copies for r in out if r.doc_id == 1}) == 2  # split over its copies
+    key = lambda df: Counter((r.doc_id, r.source, r.size, r.taken) for r in df.collect())
+    assert key(mixing.mix_sizes(plain)) == key(mixing.mix_sizes(plain.repartition(3))) == Counter((r.doc_id, r.source, r.size, r.taken) for r in out)
+
+
+def test_tilts_meet_targets_and_are_exponential(spark):
+    r = np.random.default_rng(3)
+    sizes = {s: r.lognormal(4, 1.2, 200).astype(int) + 1 for s in ("a", "b", "c", "d")}
+    hist = spark.createDataFrame([(s, int(x), 1) for s, xs in sizes.items() for x in xs], "source string, size long, docs long")
+    part = {"a": 0.05, "b": 0.9, "c": 1.7, "d": 1.99}
+    goals = spark.createDataFrame([(s, int(xs.sum()), float(part[s] * xs.sum())) for s, xs in sizes.items()], "source string, source_size long, target double")
+    for x in mixing.tilts(hist, goals).collect():
+        own = sizes[x.source]
+        rate = np.minimum(2, np.exp(np.minimum(x.tilt * own / own.mean(), 1)))
+        assert abs((rate * own).sum() / (part[x.source] * own.sum()) - 1) < 1e-5
+
+
 def test_empty_tables(empty):
     path, _ = library()
     for out in (substring.remove_repeated(empty), jaccard.near_duplicates(empty), rules.quality_rules(empty), tokens.count_tokens(empty, path), packing.pack(packing.token_pieces(empty, path)), mixing.mix_sizes(empty)):

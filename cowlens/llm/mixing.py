@@ -103,18 +103,15 @@ def tilts(hist: DataFrame, goals: DataFrame, tolerance: float = 1e-6, rounds: in
 def _newton(hist: DataFrame, state: DataFrame, tolerance: float) -> DataFrame:
     """One step of every source: to the tangent's zero, or to the bracket's middle where that lies outside."""
     x = _by_source(hist, state.where("not full").select("source", "mean", "t"))
-    z = F.col("size") / F.col("mean")
-    words, raw = F.col("docs") * F.col("size"), F.exp(F.least(F.col("t") * z, F.lit(1.0)))  # beyond log 2 the rate is at the cap
-    sums = x.groupBy("source").agg(F.sum(words * F.least(raw, F.lit(CAP))).alias("f"), F.sum(F.when(raw < CAP, words * z * raw).otherwise(0.0)).alias("slope"))
-    s = _by_source(state, sums, "left")
-    over = F.col("f") > F.col("target")
-    lo, hi = F.when(over, F.col("lo")).otherwise(F.col("t")), F.when(over, F.col("t")).otherwise(F.col("hi"))
-    newton = F.col("t") - (F.col("f") - F.col("target")) / F.greatest("slope", F.lit(1e-300))
-    step = F.when((newton > lo) & (newton < hi), newton).otherwise((lo + hi) / 2)
-    off = F.coalesce(F.abs(F.col("f") - F.col("target")) / F.greatest("target", F.lit(1.0)), F.lit(0.0))
-    done = F.col("full") | F.col("f").isNull() | (off <= tolerance)
-    keep = lambda old, new: F.when(done, F.col(old)).otherwise(new).alias(old)
-    return s.select("source", "mean", "target", "full", keep("t", step), keep("lo", lo), keep("hi", hi), off.alias("off"))
+    x = x.selectExpr("source", "docs * size as words", "size / mean as z", "exp(least(t * size / mean, 1D)) as raw")  # beyond log 2 the rate is at the cap
+    sums = x.groupBy("source").agg(F.expr(f"sum(words * least(raw, {CAP}D)) as f"), F.expr(f"sum(if(raw < {CAP}D, words * z * raw, 0D)) as slope"))
+    s = _by_source(state, sums, "left").selectExpr(
+        "*", "if(f > target, lo, t) as new_lo", "if(f > target, t, hi) as new_hi", "t - (f - target) / greatest(slope, 1e-300D) as newton",
+        "coalesce(abs(f - target) / greatest(target, 1D), 0D) as new_off",
+    )
+    s = s.withColumn("done", F.expr(f"full or f is null or new_off <= {tolerance!r}D"))
+    step = "if(newton > new_lo and newton < new_hi, newton, (new_lo + new_hi) / 2)"
+    return s.selectExpr("source", "mean", "target", "full", f"if(done, t, {step}) as t", "if(done, lo, new_lo) as lo", "if(done, hi, new_hi) as hi", "new_off as off")
 
 
 def _by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -125,19 +122,16 @@ def _by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFra
 
 def shifts(docs: DataFrame, goals: DataFrame, passes: int = 5, grid: int = 16) -> DataFrame:
     """source, shift: the least difference of the copies' words from the target, by a grid refined pass by pass."""
-    state = goals.select("source", "target", F.lit(-1.0).alias("lo"), F.lit(1.0).alias("hi"))
+    state = goals.selectExpr("source", "target", "-1D as lo", "1D as hi")
+    at = [f"(lo + (hi - lo) * {k / grid!r}D)" for k in range(grid + 1)]
+    words = [F.expr(f"sum(size * {_COPIES.format(shift=x)}) as w{k}") for k, x in enumerate(at)]
+    points = ", ".join(f"struct(abs(coalesce(w{k}, 0) - target) as off, {x} as at)" for k, x in enumerate(at))
+    low = ", ".join(f"if(coalesce(w{k}, 0) <= target, {k}, 0)" for k in range(grid))
     for last in range(passes):
-        x = docs.join(state.select(F.col("source").alias("__s"), "lo", "hi"), F.col("source").eqNullSafe(F.col("__s")))
-        at = lambda k: F.col("lo") + (F.col("hi") - F.col("lo")) * (k / grid)
-        words = [F.sum(F.col("size") * copies(F.col("rate"), F.col("u"), at(k))).alias(f"w{k}") for k in range(grid + 1)]
-        sums = x.groupBy("source").agg(*words)
-        s = state.join(sums.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
-        points = F.array(*(F.struct(F.abs(F.coalesce(F.col(f"w{k}"), F.lit(0)) - F.col("target")).alias("off"), at(k).alias("at")) for k in range(grid + 1)))
+        s = _by_source(state, _by_source(docs, state.select("source", "lo", "hi")).groupBy("source").agg(*words), "left")
         if last == passes - 1:
-            return _last_flip(docs, cut(s.select("source", "target", F.array_min(points)["at"].alias("shift"))))
-        low = F.array_max(F.array(*(F.when(F.coalesce(F.col(f"w{k}"), F.lit(0)) <= F.col("target"), F.lit(k)).otherwise(0) for k in range(grid))))
-        step = (F.col("hi") - F.col("lo")) / grid
-        state = cut(s.withColumn("k", low).select("source", "target", (F.col("lo") + step * F.col("k")).alias("lo"), (F.col("lo") + step * (F.col("k") + 1)).alias("hi")))
+            return _last_flip(docs, cut(s.selectExpr("source", "target", f"array_min(array({points})).at as shift")))
+        state = cut(s.selectExpr("source", "target", "lo", "(hi - lo) / {0} as step".format(grid), f"greatest({low}) as k").selectExpr("source", "target", "lo + step * k as lo", "lo + step * (k + 1) as hi"))
     raise ValueError("passes must be positive")
 
 
@@ -153,6 +147,10 @@ def _last_flip(docs: DataFrame, found: DataFrame) -> DataFrame:
     return _by_source(found.select("source", "shift"), best, "left")
 
 
+#: Copies of a row with rate and u.
+_COPIES = f"cast(greatest(0D, least({CAP}D, floor(rate + u + {{shift}}))) as bigint)"
+
+
 def copies(rate, u, shift):
     return F.greatest(F.lit(0), F.least(F.lit(2), F.floor(rate + u + shift))).cast("long")
 

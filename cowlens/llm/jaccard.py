@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, cut_rows, partitions, release, ship, text_pieces
+from .shared import cut, cut_counted, cut_rows, partitions, release, ship, text_pieces
 from .textops import Words, mix, shingles
 
 SKETCH_BITS, SLICE = 20, 4096
@@ -37,7 +37,9 @@ LABELLED = np.dtype([*ENTRY.descr, ("comp", "<i8")])
 CENTRES, ROUNDS = 8, 6
 #: Buckets over which the tiles of one first node are spread at most.
 SPREAD = 4
-#: Node representatives up to this number are sent to all executors (16 bytes each); beyond, they are shuffled.
+#: Bytes of tiles that one task takes in a round.
+TILE_BYTES = 4 << 20
+#: Node representatives and labels up to this number are sent to all executors (16 bytes each); beyond, they are shuffled.
 BROADCAST_IDS = 500_000
 
 
@@ -245,8 +247,11 @@ def with_centres(tiled: DataFrame, percent: int, seed: int) -> DataFrame:
     return tiled.mapInArrow(run, "a long, b long").distinct()
 
 
-def mixed(tiled: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, pairs, entries): tiles whose nodes are in several components, and how many pairs those make."""
+def mixed(tiled: DataFrame, labels: DataFrame, small: bool) -> DataFrame:
+    """(bucket, pairs, entries): tiles whose nodes are in several components, and how many pairs those make.
+
+    Small labels are sent to the tiles, whose entries stay where they are; else both are shuffled.
+    """
 
     def unpack(batches):
         for t in batches:
@@ -269,9 +274,24 @@ def mixed(tiled: DataFrame, labels: DataFrame) -> DataFrame:
         pairs = int((many * many).sum() - (own * own).sum()) // 2
         return pa.table({"bucket": t.column("bucket")[:1].cast(pa.int32()), "pairs": pa.array([pairs], pa.int64()), "entries": pa.array([e.tobytes()], pa.binary())})
 
+    def runs(batches):  # a bucket's rows come one after the other, as unpack gave them
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            k = b.column("bucket").to_numpy()
+            cut_at = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+            for x, y in zip(cut_at[:-1], cut_at[1:], strict=True):
+                if held and y > x and held[0].column("bucket")[0].as_py() != int(k[x]):
+                    yield from run(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                if y > x:
+                    held.append(b.slice(x, y - x))
+        if held:
+            yield from run(pa.Table.from_batches(held)).to_batches()
+
     rows = tiled.mapInArrow(unpack, "bucket int, h long, size long, node long")
-    rows = rows.join(labels, "node", "left").select("bucket", "h", "size", "node", F.coalesce("component", "node").alias("comp"))
-    return rows.groupBy("bucket").applyInArrow(run, "bucket int, pairs long, entries binary")
+    rows = rows.join(F.broadcast(labels) if small else labels, "node", "left").select("bucket", "h", "size", "node", F.coalesce("component", "node").alias("comp"))
+    schema = "bucket int, pairs long, entries binary"
+    return rows.mapInArrow(runs, schema) if small else rows.groupBy("bucket").applyInArrow(run, schema)
 
 
 def all_pairs(several: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -344,8 +364,11 @@ def all_pairs(several: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return several.groupBy("bucket").cogroup(own.groupBy("bucket")).applyInArrow(run, "a long, b long").distinct()
 
 
-def verify(docs: DataFrame, edges: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Edges that reach the threshold: bound by bitmaps, then by intersection of the sorted arrays."""
+def verify(docs: DataFrame, edges: DataFrame, nodes: DataFrame, width: int, percent: int, many: int) -> tuple[DataFrame, int]:
+    """Edges that reach the threshold, and how many: bound by bitmaps, then by intersection of the sorted arrays.
+
+    many: number of the edges; stages of few rows get few tasks.
+    """
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("rep").alias(f"rep_{k}"), F.col("n_shingles").alias(f"n_{k}"), F.col("bitmap").alias(f"map_{k}"))
 
     def bound(batches):
@@ -357,7 +380,8 @@ def verify(docs: DataFrame, edges: DataFrame, nodes: DataFrame, width: int, perc
             yield t.filter(pa.array(ok)).select(["a", "b", "rep_a", "rep_b"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    near = cut_rows(edges.join(side("a"), "a").join(side("b"), "b").mapInArrow(bound, f"a long, b long, rep_a {id_type}, rep_b {id_type}"))
+    both = edges.join(side("a"), "a").join(side("b"), "b").coalesce(max(1, many // 20_000))
+    near, left = cut_counted(both.mapInArrow(bound, f"a long, b long, rep_a {id_type}, rep_b {id_type}"))
     wanted = near.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("rep_a").alias("doc_id")), F.struct(F.col("b").alias("node"), F.col("rep_b").alias("doc_id")))).alias("x")).select("x.*").distinct()
     reps = wanted.select("doc_id").distinct()
     if wanted.count() <= BROADCAST_IDS:
@@ -382,7 +406,7 @@ def verify(docs: DataFrame, edges: DataFrame, nodes: DataFrame, width: int, perc
             yield t.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     pairs = near.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return cut_rows(pairs.mapInArrow(exact, "a long, b long"))
+    return cut_counted(pairs.coalesce(max(1, left // 5_000)).mapInArrow(exact, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -396,21 +420,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("bitmap").alias("bitmap"))
     nodes = cut_rows(nodes, 20_000)
     tiled = cut(tiles(docs, rank, width, percent, n))
-    seen = cut_rows(with_centres(tiled, percent, 0))
-    links = verify(docs, seen, nodes, width, percent)
-    labels = cut_rows(components(links))
     members = tiled.agg(F.sum(F.length("entries"))).first()[0] or 0
+    tiled = tiled.coalesce(max(1, members // TILE_BYTES))
+    seen, many = cut_counted(with_centres(tiled, percent, 0))
+    links, _ = verify(docs, seen, nodes, width, percent, many)
+    labels, labelled = cut_counted(components(links))
     for k in range(1, ROUNDS + 1):
-        several = cut(mixed(tiled, labels))
+        several = cut(mixed(tiled, labels, labelled <= BROADCAST_IDS))
         pairs = several.agg(F.sum("pairs")).first()[0] or 0
         if not pairs:
             break
         final = k == ROUNDS or pairs * ENTRY.itemsize <= 4 * members  # few pairs for the memberships there are
-        edges = cut_rows((all_pairs(several, nodes, percent) if final else with_centres(several, percent, k)).join(seen, ["a", "b"], "left_anti"))
-        found = verify(docs, edges, nodes, width, percent)
-        if not found.isEmpty():
+        edges, many = cut_counted((all_pairs(several, nodes, percent) if final else with_centres(several, percent, k)).join(seen, ["a", "b"], "left_anti"))
+        found, new = verify(docs, edges, nodes, width, percent, many)
+        if new:
             links = links.unionByName(found)
-            labels = cut_rows(components(links))
+            labels, labelled = cut_counted(components(links))
         if final:
             break
         seen = seen.unionByName(edges)

@@ -54,10 +54,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_rows(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """cut(), and about `rows` rows a partition if there were more partitions than that: fewer tasks and files for what follows."""
+def cut_counted(df: DataFrame, rows: int = 100_000) -> tuple[DataFrame, int]:
+    """cut(), with about `rows` rows a partition if there were more partitions than that, and the number of rows: fewer tasks
+    and files for what follows."""
     done = cut(df)
-    return done.coalesce(max(1, -(-done.count() // rows)))
+    n = done.count()
+    return done.coalesce(max(1, -(-n // rows))), n
+
+
+def cut_rows(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    return cut_counted(df, rows)[0]
 
 
 def cut_table(df: DataFrame) -> DataFrame:

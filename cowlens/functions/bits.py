@@ -74,3 +74,17 @@ def subcluster_state(alloc: Column, zero: Column, index: Column) -> Column:
 def state_map(alloc: Column, zero: Column) -> Column:
     """The 32 subclusters' states as text, lowest bit first."""
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: subcluster_state(alloc, zero, i)), "")
+
+
+def subcluster_range(alloc: Column, zero: Column, first: Column, count: Column, state: str) -> tuple[Column, Column]:
+    """(alloc, zero) after `count` subclusters from `first` on are set to a state: A, Z or U."""
+    one = F.lit(1).cast("long")
+    mask = F.call_function("shiftleft", F.call_function("shiftleft", one, count.cast("int")) - 1, first.cast("int"))
+    on = lambda x: x.bitwiseOR(mask)
+    off = lambda x: x.bitwiseAND(F.bitwise_not(mask))
+    return on(alloc) if state == "A" else off(alloc), on(zero) if state == "Z" else off(zero)
+
+
+def subclusters_valid(alloc: Column, zero: Column) -> Column:
+    """No subcluster has both bits."""
+    return alloc.bitwiseAND(zero) == 0

@@ -57,8 +57,13 @@ def inflate(data: Column, size: Column | int, kind: Column | int = DEFLATE) -> C
 
 
 @F.pandas_udf(T.BinaryType())
-def deflate(data: pd.Series) -> pd.Series:
-    return data.map(lambda d: None if d is None else compress(bytes(d)))
+def _pack(data: pd.Series, kind: pd.Series) -> pd.Series:
+    return pd.Series([None if d is None else compress(bytes(d), int(k)) for d, k in zip(data, kind, strict=True)])
+
+
+def packed(data: Column, kind: int = DEFLATE) -> Column:
+    """Compressed bytes."""
+    return _pack(data, F.lit(kind))
 
 
 def is_zero(data: Column) -> Column:

@@ -138,14 +138,22 @@ def keep_best_tables(entries: DataFrame, known: DataFrame, per_table: int = 512)
     return scored.withColumn("rank", best).join(need, "image_id").where("rank <= k").select("image_id", "l2", F.col("score").cast("long").alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-def plausibility(entries: DataFrame, stored: DataFrame) -> DataFrame:
-    """Score of each table as a hypothesis: +2 in-range or -3, +3 stored or -4, -5 for a host used twice, per entry."""
+def plausibility(entries: DataFrame, stored: DataFrame, guest_limit: int) -> DataFrame:
+    """Score of each table as a hypothesis. Per entry: +2 for a host cluster in range or -3, +3 for a count or -4, -5 for
+    each further use of a host cluster, +1 for a guest cluster below the limit or -2; -1 for each range of consecutive
+    guest and host clusters beyond the first."""
+    image = [c for c in ("image_id",) if c in stored.columns]
     own = entries.where(F.col("kind").isin("standard", "compressed"))
-    twice = own.groupBy("image_id", "table_id", "host_cluster").agg(F.count("*").alias("uses"))
-    x = twice.join(stored.withColumnRenamed("cluster_idx", "host_cluster"), "host_cluster", "left")
+    hosts = own.groupBy("image_id", "table_id", "host_cluster").agg(F.count("*").alias("uses"), F.sum(F.when(F.col("guest_cluster") < guest_limit, 1).otherwise(-2)).alias("guests"))
+    x = hosts.join(stored.withColumnRenamed("cluster_idx", "host_cluster"), [*image, "host_cluster"], "left")
     points = F.when(F.col("stored").isNull(), -3).otherwise(2) + F.when(F.coalesce("stored", F.lit(0)) > 0, 3).otherwise(-4)
-    score = F.sum(points * F.col("uses") - 5 * (F.col("uses") - 1))
-    return x.groupBy("image_id", "table_id").agg(score.cast("long").alias("score"))
+    score = x.groupBy("image_id", "table_id").agg(F.sum(points * F.col("uses") - 5 * (F.col("uses") - 1) + F.col("guests")).alias("score"))
+    # an entry goes on with a range if the one before it has the host before; both meet in one key, without a sort
+    at = own.select("image_id", "table_id", "guest_cluster", "host_cluster").distinct()
+    met = at.withColumn("next", F.lit(0)).unionByName(at.select("image_id", "table_id", (F.col("guest_cluster") + 1).alias("guest_cluster"), (F.col("host_cluster") + 1).alias("host_cluster"), F.lit(1).alias("next")))
+    begins = met.groupBy("image_id", "table_id", "guest_cluster", "host_cluster").agg((F.max("next") == 0).alias("begins"))
+    ranges = begins.groupBy("image_id", "table_id").agg(F.count_if("begins").alias("ranges"))
+    return score.join(ranges, ["image_id", "table_id"]).select("image_id", "table_id", (F.col("score") - F.greatest(F.col("ranges") - 1, F.lit(0))).cast("long").alias("score"))
 
 
 def best_hypothesis(scores: DataFrame) -> DataFrame:

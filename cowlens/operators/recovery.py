@@ -5,6 +5,8 @@ One Arrow pass reduces every cluster to a row of statistics; all that follows ar
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +17,9 @@ from ..functions.codecs import decompress
 STATISTICS = "image_id string, cluster_idx bigint, magic boolean, zeros bigint, entries int, nonzero int, valid_l2 int, valid_l1 int, distinct_entries int, small_counts int, compressed boolean, first_lba bigint, boot boolean, longest_run bigint"
 
 
-def statistics(cluster: DataFrame, cluster_bits: int) -> DataFrame:
-    """A row for each cluster: how its words would read as entries of the tables of the format."""
+def statistics(cluster: DataFrame, cluster_bits: int, end: int = 1 << 56) -> DataFrame:
+    """A row for each cluster: how its words would read as entries of the tables of the format. Valid entries name places
+    before `end`, the length of the file."""
     size = 1 << cluster_bits
 
     def run(batches):
@@ -28,7 +31,7 @@ def statistics(cluster: DataFrame, cluster_bits: int) -> DataFrame:
                 w = np.frombuffer(raw, ">u8").astype(np.uint64)
                 full = w[w != 0]
                 host, flags = full & np.uint64(0x00FFFFFFFFFFFE00), full & ~np.uint64(0x00FFFFFFFFFFFE00)
-                aligned = (host % np.uint64(size) == 0) & (host != 0)
+                aligned = (host % np.uint64(size) == 0) & (host != 0) & (host < np.uint64(end))
                 packed = (full >> np.uint64(62)) & np.uint64(1) == 1
                 plain = (flags & ~np.uint64((1 << 63) | 1)) == 0
                 l2 = packed | (plain & (aligned | ((host == 0) & (flags & np.uint64(1) == 1))))
@@ -78,16 +81,34 @@ def has_structure(stats: DataFrame, cluster_bits: int) -> DataFrame:
     return stats.withColumn("structured", (F.expr(f"zeros * 100 div {size}") > 1) | (F.col("longest_run") >= 8))
 
 
-def detect_cluster_bits(spark: SparkSession, path: str, candidates: tuple[int, ...] = (16, 12, 13, 14, 15, 17, 18, 9), sample: int = 256) -> DataFrame:
-    """Scores of candidate cluster sizes, best first; 64 KiB wins ties. A systematic sample of each is scored."""
-    from ..sources.image import clusters
+def detect(spark: SparkSession, path: str) -> int:
+    """Cluster bits of an image file: the header's if it is whole, else the field's if the magic alone is damaged and the
+    field's value scores, else the best score."""
+    from ..sources.image import Files, header
+
+    files = Files(spark, [path], 9)
+    head = header(files).first()
+    if head is not None and 9 <= head.cluster_bits <= 21:
+        return head.cluster_bits
+    scores = {r.cluster_bits: r.score for r in detect_cluster_bits(spark, path).collect()}  # one row a candidate
+    raw = files.first().first().bytes
+    field = int.from_bytes(raw[20:24], "big") if raw is not None else 0
+    return field if scores.get(field, 0) > 0 else max(scores, key=lambda k: (scores[k], -CANDIDATES.index(k)))
+
+
+CANDIDATES = (16, 12, 13, 14, 15, 17, 18, 9)
 
-    scores = None
+
+def detect_cluster_bits(spark: SparkSession, path: str, candidates: tuple[int, ...] = CANDIDATES, sample: int = 256) -> DataFrame:
+    """Scores of candidate cluster sizes, best first; 64 KiB wins ties. A systematic sample of each is read and scored."""
+    from ..sources.image import Files, fetch
+
+    scores, length = None, os.path.getsize(path)
     for place, bits in enumerate(candidates):
-        c = clusters(spark, path, bits)
-        n = c.count()
+        n = -(-length // (1 << bits))
         step = max(1, -(-n // sample))
-        s = classify(statistics(c.where(F.col("cluster_idx") % step == 0), bits), bits)
+        want = spark.range(0, n, step).select(F.lit(path).alias("image_id"), F.col("id").alias("cluster_idx"))
+        s = classify(statistics(fetch(want, Files(spark, [path], bits)), bits, length), bits)
         score = F.sum(F.when(F.col("kind") == "l2", F.col("valid_l2")).when(F.col("kind") == "l1", F.col("valid_l1")).when(F.col("kind") == "header", 1).otherwise(0))
         row = s.agg(F.coalesce(score, F.lit(0)).cast("long").alias("score")).select(F.lit(bits).alias("cluster_bits"), F.lit(place).alias("place"), "score")
         scores = row if scores is None else scores.unionByName(row)
@@ -101,7 +122,7 @@ def orphan_tables(found: DataFrame, l1: DataFrame) -> DataFrame:
     own = l1.select("image_id", F.col("l2_offset").alias("offset"), "l1_index")
     known = found.join(own, ["image_id", "offset"])
     lost = found.join(own, ["image_id", "offset"], "left_anti")
-    placed = ranked(lost, "image_id", "offset", width=1 << 30, name="l1_index")
+    placed = ranked(lost, "image_id", "offset", width=1 << 40, name="l1_index")
     return known.select("image_id", "offset", "l1_index", F.lit(True).alias("exact")).unionByName(placed.select("image_id", "offset", "l1_index", F.lit(False).alias("exact")))
 
 
@@ -112,6 +133,95 @@ def without_garbage(entries: DataFrame) -> DataFrame:
     return entries.join(bad, ["image_id", "table_id", "l1_index"], "left_anti")
 
 
+def _found_tables(stats: DataFrame, files) -> DataFrame:
+    """(image_id, offset) of scanned clusters that read as tables and whose entries do not mostly name other tables or counts.
+
+    A level-2 table without flags of its own looks like a level-1 table; what it points at tells them apart.
+    """
+    from ..functions import bits as fb
+    from ..sources import image as im
+
+    bits = files.cluster_bits
+    like = stats.where("kind in ('l1', 'l2')").select("image_id", F.shiftleft("cluster_idx", bits).alias("offset"), F.lit((1 << bits) // 8).alias("entries"))
+    words = im._words(like, files, bits).select("image_id", "offset", F.shiftright(fb.masked(F.col("hi"), F.col("lo"), 9, 55), bits).alias("cluster_idx"))
+    named = stats.where("kind in ('l1', 'l2', 'refcount')").select("image_id", "cluster_idx", F.lit(1).alias("named"))
+    x = words.join(named, ["image_id", "cluster_idx"], "left").groupBy("image_id", "offset").agg(F.count("*").alias("n"), F.count("named").alias("named"))
+    return x.where("2 * named < n").select("image_id", "offset")
+
+
+#: Hypotheses in the order that settles ties: entries of 8 or 16 bytes, level-1 entries trusted or only where a table is found.
+HYPOTHESES = (("standard, trusted", False, False), ("standard, validated", False, True), ("extended, trusted", True, False), ("extended, validated", True, True))
+
+
+def reconstruct(files, guest_limit: int | None = None) -> tuple[str, int, DataFrame]:
+    """(name, score, level-2 entries) of the most plausible reading of a damaged image.
+
+    Tables are those that level 1 names (if the header can be read) and those that the scan finds besides, which take the
+    level-1 places after the known ones, in order of their place in the file. Entries of garbage tables go, conflicts
+    of a guest cluster go to the entry whose host lies first.
+    """
+    from ..sources import image as im
+    from . import integrity
+
+    bits = files.cluster_bits
+    size, spark = 1 << bits, files.spark
+    stats = classify(statistics(files.all(), bits, max(map(os.path.getsize, files.paths))), bits).persist()
+    found = _found_tables(stats, files).persist()
+    in_file = files.lengths().select("image_id", F.ceil(F.col("length") / size).cast("long").alias("clusters"))
+    head = im.header(files)
+    row = head.first()
+    l1 = None if row is None else im.l1_entries(im.active_tables(head), files, bits)
+    stored = None if row is None or not 0 <= row.refcount_order <= 6 else im.stored_refcounts(head, files, bits, row.refcount_order)
+    empty = spark.createDataFrame([], "image_id string, l2_offset long, l1_index long")
+    best = None
+    for name, extended, validate in HYPOTHESES:
+        if extended and bits < 14:
+            continue
+        own = empty if l1 is None else l1.select("image_id", "l2_offset", F.col("l1_index").cast("long").alias("l1_index"))
+        if validate:
+            own = own.join(found.withColumnRenamed("offset", "l2_offset"), ["image_id", "l2_offset"])
+        after = own.groupBy("image_id").agg((F.max("l1_index") + 1).alias("after"))
+        tables = orphan_tables(found, own).join(after, "image_id", "left")
+        tables = tables.select("image_id", F.col("offset").alias("l2_offset"), F.when(F.col("exact"), F.col("l1_index")).otherwise(F.col("l1_index") + F.coalesce("after", F.lit(0))).cast("long").alias("l1_index"))
+        tables = tables.unionByName(own).distinct().withColumn("table_id", F.lit("active"))
+        entries = im.l2_entries(tables, files, bits, extended=extended).join(in_file, "image_id")
+        entries = entries.withColumn("valid", (F.col("host_offset").isNull() & (F.col("kind") == "zero")) | (F.col("host_offset") < F.col("clusters") * size)).drop("clusters")
+        entries = without_garbage(entries).persist()
+        scored = entries.where("host_offset is not null").select("image_id", F.lit(1).alias("table_id"), "guest_cluster", "kind", F.shiftright("host_offset", bits).alias("host_cluster"))
+        known = in_file.select("image_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("clusters") - 1)).alias("cluster_idx"))
+        known = known.withColumn("stored", F.lit(1)) if stored is None else known.join(stored, ["image_id", "cluster_idx"], "left").select("image_id", "cluster_idx", F.coalesce("stored", F.lit(0)).alias("stored"))
+        limit = guest_limit or (-(-row.virtual_size // size) if row is not None and row.virtual_size > 0 else 1 << 55)
+        score = integrity.plausibility(scored, known, limit).agg(F.sum("score")).first()[0]
+        score = -(1 << 62) if score is None else score
+        if best is None or score > best[1]:
+            best = (name, score, entries)
+    name, score, entries = best
+    first = F.min(F.struct(F.coalesce("host_offset", F.lit(0)), "l1_index", "l2_index"))
+    keep = entries.where("valid").groupBy("image_id", "guest_cluster").agg(first.alias("k")).select("image_id", "guest_cluster", "k.l1_index", "k.l2_index")
+    return name, score, entries.join(keep, ["image_id", "guest_cluster", "l1_index", "l2_index"]).drop("valid")
+
+
+def probe_streams(entries: DataFrame, files, compression: int = 0, sample: int = 100) -> DataFrame:
+    """How many of at most `sample` compressed entries, those of least host offset, inflate: tried, inflated."""
+    from ..sources import image as im
+
+    some = entries.where("kind = 'compressed'").orderBy("image_id", "host_offset").limit(sample)
+    return im.read_clusters(some, files, files.cluster_bits, compression).agg(F.count("*").alias("tried"), F.count_if(F.col("error").isNull()).alias("inflated"))
+
+
+def find_luks(files, first: int = 64) -> DataFrame:
+    """(image_id, offset) of an encryption header: where the extension says, else the first cluster that begins like one."""
+    from ..functions import bits as fb
+    from ..sources import image as im
+
+    ext = im.extensions(files).where((F.col("type_id") == im.CRYPTO_EXTENSION) & (F.octet_length("data") >= 16))
+    named = ext.select("image_id", fb.masked(*fb.halves(F.col("data"), 0), 0, 62).alias("offset"), F.lit(0).alias("rank"))
+    want = files.spark.createDataFrame([(p,) for p in files.paths], "image_id string").withColumn("cluster_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(first - 1).cast("long"))))
+    seen = im.fetch(want, files).where(F.hex(F.substring("bytes", 1, 6)) == "4C554B53BABE").select("image_id", F.shiftleft("cluster_idx", files.cluster_bits).alias("offset"), F.lit(1).alias("rank"))
+    best = F.min(F.struct("rank", "offset"))
+    return named.unionByName(seen).groupBy("image_id").agg(best.alias("b")).select("image_id", F.col("b.offset").alias("offset"))
+
+
 def partition_gap(stats: DataFrame, cluster_bits: int) -> DataFrame:
     """First guest cluster of the first partition, where a cluster reads as a master boot record."""
     return stats.where("boot and first_lba > 0 and first_lba < 4294967295").select("image_id", "cluster_idx", F.expr(f"first_lba * 512 div {1 << cluster_bits}").alias("first_partition_cluster"))

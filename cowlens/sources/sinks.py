@@ -53,16 +53,23 @@ def _prefix(sizes: DataFrame, key: str, amount: str, name: str) -> DataFrame:
     return x.withColumn("__i", inner).join(per, "__r").select(key, (F.col("__base") + F.col("__i")).cast("long").alias(name))
 
 
-def assemble(guest: DataFrame, virtual_size: int, cluster_bits: int = 16, packed: bool = False, backing: str | None = None) -> tuple[DataFrame, int]:
+def assemble(guest: DataFrame, virtual_size: int, cluster_bits: int = 16, packed: bool = False, backing: str | None = None, extended: bool = False) -> tuple[DataFrame, int]:
     """(host clusters, how many): an image of guest clusters (guest_cluster, bytes). Zero clusters are left out.
 
+    extended: level-2 entries of 16 bytes with the subclusters' bits, from columns alloc and zero (all allocated if missing);
+    clusters of 16 KiB at least, not packed.
+
     Order of the file: header, level-1 table, level-2 tables, data, reference table, reference blocks.
     """
     spark, size = guest.sparkSession, 1 << cluster_bits
-    per = size // 8
+    if extended and (packed or cluster_bits < 14):
+        raise ValueError("extended entries need clusters of 16 KiB at least, and are not packed")
+    words = 2 if extended else 1
+    per = size // (8 * words)
     entries = -(-virtual_size // (size * per))
     l1_clusters = max(1, -(-entries * 8 // size))
-    solid = guest.where(~is_zero(F.col("bytes"))).select("guest_cluster", F.rpad("bytes", size, F.lit(b"\0")).alias("bytes"))
+    masks = ["alloc", "zero"] if extended and "alloc" in guest.columns else []
+    solid = guest.where(~is_zero(F.col("bytes"))).select("guest_cluster", F.rpad("bytes", size, F.lit(b"\0")).alias("bytes"), *masks)
     one = F.lit(0).alias("all")
     l2 = ranked(solid.select(F.expr(f"guest_cluster div {per}").alias("l1_index")).distinct().select("*", one), "all", "l1_index", name="l2_rank").drop("all").persist()
     n_l2 = l2.count()
@@ -89,10 +96,11 @@ def assemble(guest: DataFrame, virtual_size: int, cluster_bits: int = 16, packed
         entry = e.select(F.col("guests").alias("guest_cluster"), word.alias("word"), F.lit(False).alias("copied"))
         used = e.select(F.explode(F.sequence(F.expr(f"(base * {size} + offsets) div {size}"), F.expr(f"(base * {size} + offsets + ceil(sizes / 512) * 512 - 1) div {size}"))).alias("c")).groupBy("c").agg(F.count("*").alias("refs")).select((F.col("c") + first).alias("cluster_idx"), "refs")
     else:
-        placed = ranked(solid.select("guest_cluster", one), "all", "guest_cluster", name="r").drop("all").persist()
+        placed = ranked(solid.select("guest_cluster", *masks, one), "all", "guest_cluster", name="r").drop("all").persist()
         n_data = placed.count()
         data = solid.join(placed, "guest_cluster").select((F.col("r") + first).alias("cluster_idx"), "bytes")
-        entry = placed.select("guest_cluster", ((F.col("r") + first) * size).alias("word"), F.lit(True).alias("copied"))
+        states = [F.col(c) if masks else F.lit(v) for c, v in (("alloc", 0xFFFFFFFF), ("zero", 0))] if extended else []
+        entry = placed.select("guest_cluster", ((F.col("r") + first) * size).alias("word"), F.lit(True).alias("copied"), *(x.cast("long").alias(n) for x, n in zip(states, ("alloc", "zero"))))
         used = None
     table_at = first + n_data
     blocks, refs_per_block = 1, size // 2
@@ -104,17 +112,19 @@ def assemble(guest: DataFrame, virtual_size: int, cluster_bits: int = 16, packed
         blocks = -(-total // refs_per_block)
 
     def l2_table(t: pa.Table) -> pa.Table:
-        out = np.zeros(per, ">u8")
-        out[t.column("slot").to_numpy()] = t.column("word").to_numpy().astype(np.uint64) | np.where(t.column("copied").to_numpy(zero_copy_only=False), np.uint64(COPIED), np.uint64(0))
+        out, slot = np.zeros((per, words), ">u8"), t.column("slot").to_numpy()
+        out[slot, 0] = t.column("word").to_numpy().astype(np.uint64) | np.where(t.column("copied").to_numpy(zero_copy_only=False), np.uint64(COPIED), np.uint64(0))
+        if words == 2:
+            out[slot, 1] = t.column("zero").to_numpy().astype(np.uint64) << np.uint64(32) | t.column("alloc").to_numpy().astype(np.uint64)
         return pa.table({"cluster_idx": t.column("cluster_idx")[:1], "bytes": pa.array([out.tobytes()], pa.binary())})
 
     e = entry.withColumn("l1_index", F.expr(f"guest_cluster div {per}")).join(l2, "l1_index")
-    l2s = e.select((F.col("l2_rank") + first_l2).alias("cluster_idx"), (F.col("guest_cluster") % per).alias("slot"), "word", "copied").groupBy("cluster_idx").applyInArrow(l2_table, HOST)
+    l2s = e.select((F.col("l2_rank") + first_l2).alias("cluster_idx"), (F.col("guest_cluster") % per).alias("slot"), "word", "copied", *(["alloc", "zero"] if extended else [])).groupBy("cluster_idx").applyInArrow(l2_table, HOST)
     l1 = spark.range(l1_clusters).select((F.col("id") + 1).alias("cluster_idx"), F.lit(-1).cast("long").alias("slot"), F.lit(0).cast("long").alias("word"))
-    l1 = l1.unionByName(l2.select((F.expr(f"l1_index div {per}") + 1).alias("cluster_idx"), (F.col("l1_index") % per).alias("slot"), ((F.col("l2_rank") + first_l2) * size).alias("word")))
+    l1 = l1.unionByName(l2.select((F.expr(f"l1_index div {size // 8}") + 1).alias("cluster_idx"), (F.col("l1_index") % (size // 8)).alias("slot"), ((F.col("l2_rank") + first_l2) * size).alias("word")))
 
     def l1_table(t: pa.Table) -> pa.Table:
-        out, slot = np.zeros(per, ">u8"), t.column("slot").to_numpy()
+        out, slot = np.zeros(size // 8, ">u8"), t.column("slot").to_numpy()
         real = slot >= 0
         out[slot[real]] = t.column("word").to_numpy()[real].astype(np.uint64) | np.uint64(COPIED)
         return pa.table({"cluster_idx": t.column("cluster_idx")[:1], "bytes": pa.array([out.tobytes()], pa.binary())})
@@ -143,10 +153,10 @@ def assemble(guest: DataFrame, virtual_size: int, cluster_bits: int = 16, packed
         keyed = used.withColumn("block", F.expr(f"cluster_idx div {refs_per_block}"))
         own = block.withColumn("block", F.col("cluster_idx") - (table_at + table_clusters))
         block = own.groupBy("block").cogroup(keyed.groupBy("block")).applyInArrow(patch, HOST)
-    pointers = np.zeros(table_clusters * per, ">u8")
+    pointers = np.zeros(table_clusters * (size // 8), ">u8")
     pointers[:blocks] = (np.arange(blocks) + table_at + table_clusters) * size
-    table = [(table_at + k, pointers[k * per : (k + 1) * per].tobytes()) for k in range(table_clusters)]
-    head = struct.pack(">IIQIIQIIQQIIQ", MAGIC, 3, 0, 0, cluster_bits, virtual_size, 0, entries, size, table_at * size, table_clusters, 0, 0) + struct.pack(">QQQII", 0, 0, 0, 4, 112) + bytes(8) + bytes(8)
+    table = [(table_at + k, pointers[k * (size // 8) : (k + 1) * (size // 8)].tobytes()) for k in range(table_clusters)]
+    head = struct.pack(">IIQIIQIIQQIIQ", MAGIC, 3, 0, 0, cluster_bits, virtual_size, 0, entries, size, table_at * size, table_clusters, 0, 0) + struct.pack(">QQQII", 16 if extended else 0, 0, 0, 4, 112) + bytes(8) + bytes(8)
     if backing is not None:
         name = backing.encode()
         head = head[:8] + struct.pack(">QI", len(head), len(name)) + head[20:] + name

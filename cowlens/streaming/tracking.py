@@ -46,21 +46,43 @@ def hash_on_write(writes: DataFrame, chunk: int, rehash: Callable[[DataFrame], N
 
 
 def append_blocks(writes: DataFrame, folder: str, checkpoint: str, cluster: int) -> StreamingQuery:
-    """Append-only writer: blocks (image_id, guest_cluster, bytes) land as Parquet; zero blocks are left out.
+    """Append-only writer: blocks (image_id, guest_cluster, bytes, and seq if there is one) land as Parquet; zero blocks are
+    left out, but for a flag that they were written.
 
     A batch that is tried again overwrites its own folder, so results are exactly once; finalize() lays them out.
     """
 
     def batch(df: DataFrame, n: int) -> None:
-        solid = df.where(F.rtrim(F.hex("bytes"), F.lit("0")) != "")
-        solid.select("image_id", "guest_cluster", F.rpad("bytes", cluster, F.lit(b"\0")).alias("bytes"), F.lit(n).alias("batch")).write.mode("overwrite").parquet(f"{folder}/batch={n:08d}")
+        empty = F.rtrim(F.hex("bytes"), F.lit("0")) == ""
+        seq = F.col("seq") if "seq" in df.columns else F.lit(0)
+        rows = df.select("image_id", "guest_cluster", F.when(~empty, F.rpad("bytes", cluster, F.lit(b"\0"))).alias("bytes"), seq.cast("long").alias("seq"))
+        rows.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/batch={n:08d}")
 
     return writes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def finalize(blocks: DataFrame) -> DataFrame:
-    """Last write of each guest cluster wins; host clusters follow in guest order. Address table without bytes."""
+def last_writes(blocks: DataFrame, rewrite: str = "last") -> DataFrame:
+    """image_id, guest_cluster, bytes (null: zeros) of each cluster's last write, by batch and seq. rewrite="error": a cluster
+    that is written twice is an error, as for a writer that can't go back."""
+    x = blocks.groupBy("image_id", "guest_cluster").agg(F.max_by("bytes", F.struct("batch", "seq")).alias("bytes"), F.count("*").alias("writes"))
+    if rewrite == "error" and (twice := x.where("writes > 1").first()) is not None:
+        raise ValueError(f"cluster {twice.guest_cluster} of {twice.image_id} is written {twice.writes} times")
+    return x.drop("writes")
+
+
+def finalize(blocks: DataFrame, rewrite: str = "last") -> DataFrame:
+    """Address table without bytes: image_id, guest_cluster, host_cluster in guest order. Zero clusters have none."""
     from ..operators.mapping import ranked
 
-    last = blocks.groupBy("image_id", "guest_cluster").agg(F.max("batch").alias("batch"))
-    return ranked(last, "image_id", "guest_cluster", name="host_cluster")
+    own = last_writes(blocks, rewrite).where("bytes is not null").select("image_id", "guest_cluster")
+    return ranked(own, "image_id", "guest_cluster", name="host_cluster")
+
+
+def finalize_image(blocks: DataFrame, path: str, virtual_size: int, cluster_bits: int = 16, packed: bool = False, rewrite: str = "last") -> int:
+    """Ends the append-only writer: all metadata follow from the blocks of one image. Clusters of the file."""
+    from ..sources import sinks
+
+    guest = last_writes(blocks, rewrite).where("bytes is not null").select("guest_cluster", "bytes")
+    host, total = sinks.assemble(guest, virtual_size, cluster_bits, packed)
+    sinks.write_clusters(host, path, 1 << cluster_bits, total)
+    return total

@@ -7,7 +7,9 @@ import duckdb
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-from cowlens.plans import catalogue  # noqa: E402
+from cowlens.plans import catalogue, images  # noqa: E402
+
+QUERIES, ORACLES = {**catalogue.QUERIES, **images.QUERIES}, {**catalogue.ORACLES, **images.ORACLES}
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events", "documents", "conversations")
@@ -25,17 +27,17 @@ def rows(frame, cols):
     return sorted(tuple(str(x) for x in r) for r in frame[cols].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(name, spark, duck):
-    a = catalogue.QUERIES[name](spark, SF).toPandas()
-    b = duck.sql(catalogue.ORACLES[name]).df()
+    a = QUERIES[name](spark, SF).toPandas()
+    b = duck.sql(ORACLES[name]).df()
     assert sorted(a.columns) == sorted(b.columns)
     cols = sorted(a.columns)
     assert rows(a, cols) == rows(b, cols)
 
 
 def test_every_query_has_sql():
-    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_scans_read_only_what_they_need(spark):

@@ -18,7 +18,7 @@ def test_commands(spark, tmp_path, capsys):
     run = lambda *a: (cli.main([str(y) for y in a]), capsys.readouterr().out)
     assert run("check", path) == (0, "clean\n")
     assert "virtual_size=3686400" in run("info", path)[1]
-    assert "name=snap" in run("snapshots", path)[1]
+    assert "name=snap" in run("snapshot", "list", path)[1]
     assert run("dump", "l2", path)[1].count("guest_cluster=") == 3
     assert "kind=header" in run("analyze", path)[1]
     disk = bytearray(900 * SIZE)

@@ -104,8 +104,11 @@ class Files:
 
     def first(self) -> DataFrame:
         """The first cluster of each file."""
-        want = self.spark.createDataFrame([(p, 0) for p in self.paths], "image_id string, cluster_idx bigint")
-        return fetch(want, self)
+        if len(self.paths) > 64:
+            want = self.spark.createDataFrame([(p, 0) for p in self.paths], "image_id string, cluster_idx bigint")
+        else:
+            want = self.spark.range(0, 1, 1, 1).select(F.explode(F.array(*map(F.lit, self.paths))).alias("image_id"), F.lit(0).cast("long").alias("cluster_idx"))
+        return fetch(want, self, spread=len(self.paths) > 64)
 
     def all(self) -> DataFrame:
         """Every cluster with its bytes, by ranged reads."""
@@ -129,8 +132,9 @@ def _spread(want: DataFrame) -> DataFrame:
     return want.repartition("image_id", F.shiftright("cluster_idx", 6)).sortWithinPartitions("image_id", "cluster_idx")
 
 
-def fetch(want: DataFrame, cluster: Clusters) -> DataFrame:
-    """want (image_id, cluster_idx, others) with bytes, a whole cluster each; null beyond the end of the file."""
+def fetch(want: DataFrame, cluster: Clusters, spread: bool = True) -> DataFrame:
+    """want (image_id, cluster_idx, others) with bytes, a whole cluster each; null beyond the end of the file. spread: deal the
+    wanted clusters to all workers first."""
     if not isinstance(cluster, Files):
         return want.join(cluster, ["image_id", "cluster_idx"], "left")
     size, names = 1 << cluster.cluster_bits, want.columns
@@ -143,7 +147,7 @@ def fetch(want: DataFrame, cluster: Clusters) -> DataFrame:
                 raw = [_pread(handles, p, c * size, size) if c >= 0 else b"" for p, c in zip(part.column("image_id").to_pylist(), part.column("cluster_idx").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.ljust(size, b"\0") if x else None for x in raw], pa.binary())], names=[*names, "bytes"])
 
-    return _spread(want).mapInArrow(run, want.schema.add("bytes", "binary"))
+    return (_spread(want) if spread else want).mapInArrow(run, want.schema.add("bytes", "binary"))
 
 
 def clusters(spark: SparkSession, path: str, cluster_bits: int, pattern: str | None = None) -> DataFrame:

@@ -380,11 +380,11 @@ def verify(docs: DataFrame, edges: DataFrame, nodes: DataFrame, width: int, perc
             yield t.filter(pa.array(ok)).select(["a", "b", "rep_a", "rep_b"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    both = edges.join(side("a"), "a").join(side("b"), "b").coalesce(max(1, many // 20_000))
+    both = edges.join(side("a"), "a").join(side("b"), "b").coalesce(max(1, many // 5_000))
     near, left = cut_counted(both.mapInArrow(bound, f"a long, b long, rep_a {id_type}, rep_b {id_type}"))
     wanted = near.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("rep_a").alias("doc_id")), F.struct(F.col("b").alias("node"), F.col("rep_b").alias("doc_id")))).alias("x")).select("x.*").distinct()
-    reps = wanted.select("doc_id").distinct()
-    if wanted.count() <= BROADCAST_IDS:
+    reps, sets_many = wanted.select("doc_id").distinct(), wanted.count()
+    if sets_many <= BROADCAST_IDS:
         reps = F.broadcast(reps)
 
     def arrays(batches):
@@ -406,7 +406,7 @@ def verify(docs: DataFrame, edges: DataFrame, nodes: DataFrame, width: int, perc
             yield t.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     pairs = near.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return cut_counted(pairs.coalesce(max(1, left // 5_000)).mapInArrow(exact, "a long, b long"))
+    return cut_counted(pairs.coalesce(max(1, sets_many // 1_000, left // 10_000)).mapInArrow(exact, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -236,9 +236,9 @@ def _reflag(files: im.Files, expected: DataFrame, tables: tuple, bits: int, exte
         return w.astype(">u8").tobytes()
 
     n = rows.count()
-    if not n:
-        return 0
-    apply_patches(_turned(rows.select("image_id", F.shiftright("place", bits).alias("cluster_idx"), F.expr(f"(place % {size}) div 8").alias("index"), "value"), files, flags))
+    if n:
+        apply_patches(_turned(rows.select("image_id", F.shiftright("place", bits).alias("cluster_idx"), F.expr(f"(place % {size}) div 8").alias("index"), "value"), files, flags))
+    rows.unpersist()
     return n
 
 

@@ -8,6 +8,7 @@ Spark reads come as rows of clusters instead (`clusters`), and are joined.
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..functions import bits
 from ..functions.codecs import inflate
@@ -98,6 +99,8 @@ class Files:
     def __init__(self, spark: SparkSession, paths: list[str], cluster_bits: int):
         ship(spark)
         self.spark, self.paths, self.cluster_bits = spark, paths, cluster_bits
+        #: Goes into every plan over this object, so that Spark never takes what it cached of an earlier state of the files.
+        self.token = uuid.uuid4().hex
 
     def with_bits(self, cluster_bits: int) -> Files:
         return Files(self.spark, self.paths, cluster_bits)
@@ -137,17 +140,18 @@ def fetch(want: DataFrame, cluster: Clusters, spread: bool = True) -> DataFrame:
     wanted clusters to all workers first."""
     if not isinstance(cluster, Files):
         return want.join(cluster, ["image_id", "cluster_idx"], "left")
-    size, names = 1 << cluster.cluster_bits, want.columns
+    size, names, token = 1 << cluster.cluster_bits, want.columns, cluster.token
 
     def run(batches):
         handles: dict = {}
+        assert token
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
                 raw = [_pread(handles, p, c * size, size) if c >= 0 else b"" for p, c in zip(part.column("image_id").to_pylist(), part.column("cluster_idx").to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x.ljust(size, b"\0") if x else None for x in raw], pa.binary())], names=[*names, "bytes"])
 
-    return (_spread(want) if spread else want).mapInArrow(run, want.schema.add("bytes", "binary"))
+    return (_spread(want) if spread else want).mapInArrow(run, StructType([*want.schema.fields, StructField("bytes", BinaryType())]))
 
 
 def clusters(spark: SparkSession, path: str, cluster_bits: int, pattern: str | None = None) -> DataFrame:
@@ -465,17 +469,18 @@ def read_clusters(entries: DataFrame, cluster: Clusters, cluster_bits: int, comp
 def _extents(entries: DataFrame, files: Files) -> DataFrame:
     """Compressed entries with their packed bytes, read where they lie."""
     x = entries.select("image_id", "table_id", "guest_cluster", "host_offset", "compressed_size", F.shiftright("host_offset", files.cluster_bits).alias("cluster_idx"))
-    names = [*x.columns, "packed"]
+    names, token = [*x.columns, "packed"], files.token
 
     def run(batches):
         handles: dict = {}
+        assert token
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
                 raw = [_pread(handles, *z) for z in zip(*(part.column(c).to_pylist() for c in ("image_id", "host_offset", "compressed_size")), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], names=names)
 
-    return _spread(x).mapInArrow(run, x.schema.add("packed", "binary"))
+    return _spread(x).mapInArrow(run, StructType([*x.schema.fields, StructField("packed", BinaryType())]))
 
 
 def _turn(size: int, decrypt, extended: bool):

@@ -36,7 +36,10 @@ def clean(spark, path):
     tables = tuple(t.persist() for t in im.all_tables(x.header, x.files, x.bits, x.extended))
     expected = im.expected_refcounts(x.header, x.files, x.bits, x.extended, tables).persist()
     stored = im.stored_refcounts(x.header, x.files, x.bits, x.order)
-    return changes.differing(stored, expected).isEmpty() and changes.wrong_flags(expected, tables, x.bits, x.extended).isEmpty()
+    out = changes.differing(stored, expected).isEmpty() and changes.wrong_flags(expected, tables, x.bits, x.extended).isEmpty()
+    for t in (*tables, expected):
+        t.unpersist()
+    return out
 
 
 def test_changes_keep_the_guest_and_the_counts(spark, tmp_path):

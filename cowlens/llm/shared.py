@@ -8,6 +8,7 @@ import os
 import re
 import sys
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -20,6 +21,8 @@ from ..shipping import ship  # noqa: F401  for the operators
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Seconds after which a worker hands free memory back again.
+TRIM = 2.0
 #: Bytes of input that one partition of the grouped stages should hold.
 PART_BYTES = 16 << 20
 
@@ -107,12 +110,15 @@ def worker_store(name: str, make):
 
 
 def release() -> None:
-    """Drop what the worker keeps, and hand the memory back; operators that keep nothing call this as they begin."""
-    store = sys.__dict__.get("_cowlens_store")
-    if not store:
+    """Drop what the worker keeps, and hand free memory back, once in TRIM seconds if nothing is kept; operators that keep
+    nothing call this as they begin."""
+    store, now = sys.__dict__.get("_cowlens_store"), time.monotonic()
+    if not store and now < sys.__dict__.get("_cowlens_trimmed", 0.0) + TRIM:
         return
-    store.clear()
-    gc.collect()
+    if store:
+        store.clear()
+        gc.collect()
+    sys.__dict__["_cowlens_trimmed"] = now
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from cowlens.operators import writes
-from cowlens.plans import images
+from cowlens.plans import catalogue, images
 from cowlens.sources import image as im
 from cowlens.sources import sinks
 
@@ -12,6 +12,14 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_descriptor_of_a_product_beyond_64_bits(spark, tmp_path):
+    keys = (0, 1, 29_183, 29_184, 150_001, 900_000, 36_000_000)
+    spark.createDataFrame([(k, 1) for k in keys], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.l1_offset: (r.host_offset, r["bytes"]) for r in catalogue.QUERIES["q_descriptor_decode"](spark, str(tmp_path)).collect()}
+    words = {k * 256: k * 256 * 1_234_567_890_123 % (1 << 62) for k in keys}
+    assert got == {at: (w & (1 << 54) - 1, ((w >> 54) + 1) * 512 - (w & 511)) for at, w in words.items()}
+
+
 def test_layers_are_chosen_before_bytes_are_read(spark, tmp_path):
     guest = spark.range(40).select((F.col("id") * 3).alias("guest_cluster"), F.col("id").cast("string").cast("binary").alias("bytes"))
     host, total = sinks.assemble(guest, 200 << 12, 12)

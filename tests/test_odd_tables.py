@@ -42,3 +42,19 @@ def test_no_exchange_carries_whole_texts_or_padding(spark, tmp_path):
     sinks.write_clusters(host, f"{x.path}/a.img", 4096, total)
     files = im.Files(spark, [f"{x.path}/a.img"], 12)
     assert {r.guest_cluster: bytes(r.bytes).rstrip(b"\0") for r in im.read_clusters(images.entries(files), files, 12).collect()} == {k: b"ab" * k for k in range(1, 6)}
+
+
+def test_subclusters_are_cut_where_they_are_read(spark, tmp_path):
+    """One pass in Python, so no batch of thousands of whole clusters goes from one worker to the next."""
+    guest = spark.range(70).select(F.col("id").alias("guest_cluster"), F.lit(1).cast("long").alias("alloc"), F.lit(2).cast("long").alias("zero"))
+    host, total = sinks.assemble(guest, 100 << 14, 14, extended=True, content=F.lit(b"z" * (1 << 14)))
+    sinks.write_clusters(host, f"{tmp_path}/a.img", 1 << 14, total)
+    files = im.Files(spark, [f"{tmp_path}/a.img"], 14)
+    e = images.entries(files, extended=True)
+    e = spark.createDataFrame(e.collect(), e.schema)
+    got = im.read_clusters(e, files, 14)
+    assert sum("MapInArrow" in line for line in plan(got).splitlines()) == 2  # plain and compressed entries
+    assert {(bytes(r.bytes), r.below, r.error) for r in got.collect()} == {(b"z" * 512 + bytes((1 << 14) - 512), 0xFFFFFFFC, None)}
+    assert got.count() == 70
+    lost = e.limit(1).withColumn("host_offset", F.lit(None).cast("long"))
+    assert [r.error for r in im.read_clusters(lost, files, 14).collect()] == ["subcluster without a cluster"]

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +24,19 @@ def test_descriptor_of_a_product_beyond_64_bits(spark, tmp_path):
     assert got == {at: (w & (1 << 54) - 1, ((w >> 54) + 1) * 512 - (w & 511)) for at, w in words.items()}
 
 
+def test_orphans_beyond_the_slots(spark, tmp_path):
+    spark.range(20_300).select(F.col("id").alias("p_partkey"), F.lit(1).alias("p_size")).write.parquet(f"{tmp_path}/part.parquet")
+    row = F.struct((F.col("id") * 7).alias("l_orderkey"), F.col("id").alias("l_partkey"), F.lit(0).cast("long").alias("l_suppkey"), F.lit(1).alias("l_linenumber"), F.lit("A").alias("l_returnflag"), F.lit("O").alias("l_linestatus"), F.lit(1.0).alias("l_quantity"))
+    spark.range(90).select(row.alias("r")).select("r.*").write.parquet(f"{tmp_path}/lineitem.parquet")
+    c = duckdb.connect()
+    for t in ("part", "lineitem"):
+        c.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    want = c.sql(catalogue.ORACLES["q_orphan_assign"]).fetchall()
+    assert len(want) == 20_000 - 90
+    assert sorted(map(tuple, catalogue.QUERIES["q_orphan_assign"](spark, str(tmp_path)).collect())) == sorted(want)
+    assert catalogue.QUERIES["q_orphan_assign_images"](spark, str(tmp_path)).count() == 20_300 - 90  # loses none
+
+
 @pytest.mark.parametrize("last", ["hello", "documentd"])
 def test_short_texts_are_no_tables(spark, tmp_path, last):
     """The last table has one entry, and what it points at reads as a table if any word that begins with a letter may."""

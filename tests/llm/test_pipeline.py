@@ -99,3 +99,22 @@ def test_run_is_its_stages(spark, folder):
     a = Counter(tuple(r) for r in cp.run(spark, folder).select("doc_id", "start", "length", "ids_crc32").collect())
     b = Counter(tuple(r) for r in cp.run(spark, folder).select("doc_id", "start", "length", "ids_crc32").collect())
     assert a == b and sum(a.values()) > 50
+
+
+def test_freed_arrays_leave_the_process():
+    """Arrays below one that lives on, after a larger one was freed: a worker that waits keeps none of them."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = """
+import cowlens.llm.shared, numpy as np, re
+held = lambda: int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) // 1024
+large = np.ones(30 << 20, "u1"); del large
+before = held()
+parts = [np.ones(3 << 20, "u1") for _ in range(50)]
+keep = parts[-1]; del parts
+print(held() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 30
